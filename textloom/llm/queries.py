@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, token_output
+from . import decontaminate, line_dedup, mixing, near_dup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +67,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op5_source_mixing, op7_decontamination)}
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DEDUP_SQL, "op5_source_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATE_SQL}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op5_source_mixing, op7_decontamination, op9_near_dedup)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DEDUP_SQL, "op5_source_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATE_SQL, "op9_near_dedup": near_dup.NEAR_DUP_SQL}
