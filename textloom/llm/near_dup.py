@@ -197,6 +197,34 @@ def with_component(rows: DataFrame, labels: DataFrame | None, id_col: str = "_id
     return rows.join(labels.select(F.col("_id").alias(id_col), F.col("_component").alias("_l")), id_col, "left").withColumn(out, F.coalesce("_l", id_col)).drop("_l")
 
 
+def linkable(apart: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int = 2) -> DataFrame:
+    """Rows of apart(_key, _id, _n, _c) whose id may have a link there, with ``_u``: the shingles that no other id has.
+
+    A set shares at most _n - _u shingles with any other, so its similarity is at most (_n - _u) / _n. Rows of keys that only one component is left in go too.
+    """
+    ids = stage_table(apart.select("_id", "_n").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    own = texts.join((F.broadcast(ids) if few else ids).select("_id"), "_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, part in utf8_slices(b, "_text"):
+                sets = shingle_sets(part, k)
+                ids = np.repeat(b.column("_id").slice(first, len(part)).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["_id", "_g"])
+
+    grams = stage_table(own.mapInArrow(run, "_id long, _g long"), "grams")
+    for _ in range(rounds):
+        alone = grams.join(ids.select("_id"), "_id", "left_semi").groupBy("_g").agg(F.min("_id").alias("_id"), F.max("_id").alias("_h")).where("_id = _h").groupBy("_id").agg(F.count(F.lit(1)).alias("_u"))
+        now = ids.select("_id", "_n").join(alone, "_id", "left").select("_id", "_n", F.coalesce("_u", F.lit(0)).alias("_u")).where((F.col("_n") - F.col("_u")) * 100 >= F.col("_n") * percent)
+        ids = stage_table(now, "ids")
+    span = Window.partitionBy("_key")
+    left = apart.join(ids.select("_id", "_u"), "_id").withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h")
+    out = stage_table(left.select("_key", "_id", "_n", "_c", "_u"), "left")
+    drop_table(grams)
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: int = SUB, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -211,7 +239,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     buckets = stage_table(bucket_rows(classes.select(F.col("_rep").alias("_id"), "_n", "_a", "_b")), "buckets")
     release_shuffles(spark)
 
-    alike = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     tested, links = None, None
     for end in ("_lo", "_hi"):
         rows_now = buckets.select("_id", F.col(end).alias("_end")).where("_id != _end").distinct()
@@ -228,8 +255,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     apart = with_component(buckets.select("_key", "_id", "_n"), labels)
     span = Window.partitionBy("_key")
     apart = stage_table(apart.withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h").select("_key", "_id", "_n", "_c"), "apart")
-    other = apart.select("_key", F.col("_id").alias("_io"), F.col("_n").alias("_no"), F.col("_c").alias("_co"))
-    pairs = apart.join(other, "_key").where((F.col("_id") > F.col("_io")) & (F.col("_c") != F.col("_co")) & alike(F.col("_n"), F.col("_no")))
+    left = linkable(apart, texts, shingle, percent)
+    other = left.select("_key", F.col("_id").alias("_io"), F.col("_c").alias("_co"), F.col("_n").alias("_no"), F.col("_u").alias("_uo"))
+    most = F.least(F.col("_n") - F.col("_u"), F.col("_no") - F.col("_uo"))  # of shared shingles; those of one set alone are in the union too
+    able = most * 100 >= (most + F.col("_u") + F.col("_uo")) * percent
+    pairs = left.join(other, "_key").where((F.col("_id") > F.col("_io")) & (F.col("_c") != F.col("_co")) & (F.least("_n", "_no") * 100 >= F.greatest("_n", "_no") * percent) & able)
     pairs = pairs.select(F.col("_id").alias("_x"), F.col("_io").alias("_y")).distinct().join(tested, ["_x", "_y"], "left_anti")
     pairs = stage_table(pairs, "pairs")
     links = links.union(confirmed(pairs, texts, shingle, percent))
