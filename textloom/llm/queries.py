@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, near_dup, token_output
+from . import chat_format, decontaminate, line_dedup, mixing, near_dup, token_output, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,26 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: A conversation beside those of the table: both turns say a string full of other templates' control strings.
+EXTRA_CONVERSATION = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat_format.format_turns(turns.union(extra))
+
+
+#: DuckDB SQL but for formatted_chars, which is the template's own.
+CHAT_LENGTH = "length(replace(replace(replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<|', '&lt;|'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '<<SYS>>', '&lt;&lt;SYS>>'), '<</SYS>>', '&lt;&lt;/SYS>>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]'))"
+CHAT_SQL = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + {CHAT_LENGTH} + {len(chat_format.OPEN) + len(chat_format.CLOSE) + 1})::BIGINT AS formatted_chars FROM rows GROUP BY conv_id
+"""
+
+
 #: All sources get an equal share of an epoch of as many rows as the corpus has.
 MIX_SEED = 20
 
@@ -67,9 +87,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op5_source_mixing, op7_decontamination, op9_near_dedup)}
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DEDUP_SQL, "op5_source_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATE_SQL, "op9_near_dedup": near_dup.NEAR_DUP_SQL}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_chat_format, op5_source_mixing, op7_decontamination, op8_warc, op9_near_dedup, op10_toxicity)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_chat_format": CHAT_SQL, "op8_warc": warc.WARC_SQL, "op5_source_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATE_SQL, "op9_near_dedup": near_dup.NEAR_DUP_SQL}
