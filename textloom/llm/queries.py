@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, near_dup, token_output, toxicity, warc
+from . import chat_format, decontaminate, line_dedup, media_flac, mixing, near_dup, suffix_dedup, token_output, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 """
 
 
+def op4_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_flac.media_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 #: All sources get an equal share of an epoch of as many rows as the corpus has.
 MIX_SEED = 20
 
@@ -100,5 +108,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_chat_format, op5_source_mixing, op7_decontamination, op8_warc, op9_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_chat_format, op4_media_flac, op5_source_mixing, op6_suffix_dedup, op7_decontamination, op8_warc, op9_near_dedup, op10_toxicity)}
 SQL: dict[str, str] = {"op1_line_dedup": line_dedup.LINE_DEDUP_SQL, "op3_chat_format": CHAT_SQL, "op8_warc": warc.WARC_SQL, "op5_source_mixing": MIX_SQL, "op7_decontamination": DECONTAMINATE_SQL, "op9_near_dedup": near_dup.NEAR_DUP_SQL}
