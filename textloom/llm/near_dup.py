@@ -2,11 +2,13 @@
 
 Two collections of SUB sub-keys, each of ROWS minhashes, are paired into SUB * SUB table keys, so that 2 * SUB * ROWS minhashes serve as many tables
 as would else need SUB * SUB * 2 * ROWS. Documents with equal shingle sets are one class; classes that share a table key are candidates, and links are
-confirmed on full sets. In each bucket members are first compared with its smallest, then with its largest member, and what is still apart with all members of other components.
+confirmed on full sets. In each bucket members are first compared with its smallest, then with its largest member, and what is
+still apart with the members of other components that have enough minhashes in common.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -75,18 +77,20 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(flat, np.cumsum(counts)[:-1])] if texts else []
 
 
-def sketch(sets: list[np.ndarray], sub: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sub-keys (documents x 2 * sub) and set fingerprints (documents x 2) of nonempty sets."""
+def sketch(sets: list[np.ndarray], sub: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sub-keys (documents x 2 * sub), set fingerprints (documents x 2) and a byte of each minhash of nonempty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     keys = np.zeros((len(sets), 2 * sub), U)
+    parts = np.zeros((len(sets), 2 * sub * rows), np.int8)
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 1 << 63, 2 * sub * rows, dtype=U) | U(1)
     for i in range(2 * sub * rows):
         least = np.minimum.reduceat((flat * factors[i]) ^ (flat >> U(29)), starts)
         keys[:, i // rows] = mixed(keys[:, i // rows] * U(0x2545F4914F6CDD1D) + least + U(i))
+        parts[:, i] = (mixed(least) & U(255)).astype(np.uint8).view(np.int8)
     prints = np.stack([np.add.reduceat(mixed(flat + U(1)), starts), np.add.reduceat(mixed(flat ^ U(0x5851F42D4C957F2D)), starts)], 1)
-    return keys, prints
+    return keys, prints, parts
 
 
 def utf8_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -100,7 +104,7 @@ def utf8_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) ->
 
 
 def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
-    """rows(_id, _text) -> ``_id, _n, _f1, _f2, _a, _b``; _a and _b are null where the set is empty."""
+    """rows(_id, _text) -> ``_id, _n, _f1, _f2, _a, _b, _m``; _a, _b and _m are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,16 +115,17 @@ def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
                 f = np.zeros((len(sets), 2), np.int64)
                 a: list = [None] * len(sets)
                 c: list = [None] * len(sets)
+                m: list = [None] * len(sets)
                 if len(full):
-                    keys, prints = sketch([sets[d] for d in full], sub, r)
+                    keys, prints, parts = sketch([sets[d] for d in full], sub, r)
                     f[full] = prints.view(np.int64)
                     keys = keys.view(np.int64)
-                    for d, row in zip(full, keys, strict=True):
-                        a[d], c[d] = row[:sub], row[sub:]
+                    for d, row, part in zip(full, keys, parts, strict=True):
+                        a[d], c[d], m[d] = row[:sub], row[sub:], part
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind)], names=["_id", "_n", "_f1", "_f2", "_a", "_b"])
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind), pa.array(m, pa.list_(pa.int8()))], names=["_id", "_n", "_f1", "_f2", "_a", "_b", "_m"])
 
-    return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>")
+    return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>, _m array<tinyint>")
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,31 +202,21 @@ def with_component(rows: DataFrame, labels: DataFrame | None, id_col: str = "_id
     return rows.join(labels.select(F.col("_id").alias(id_col), F.col("_component").alias("_l")), id_col, "left").withColumn(out, F.coalesce("_l", id_col)).drop("_l")
 
 
-def linkable(apart: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int = 2) -> DataFrame:
-    """Rows of apart(_key, _id, _n, _c) whose id may have a link there, with ``_u``: the shingles that no other id has.
+def agreeing(percent: int, hashes: int) -> int:
+    """Least number of equal minhashes that a pair of the similarity has but for a probability of about 2e-5."""
+    t = percent / 100
+    return max(0, math.floor(hashes * t - 4.15 * math.sqrt(hashes * t * (1 - t))))
 
-    A set shares at most _n - _u shingles with any other, so its similarity is at most (_n - _u) / _n. Rows of keys that only one component is left in go too.
-    """
-    ids = stage_table(apart.select("_id", "_n").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    own = texts.join((F.broadcast(ids) if few else ids).select("_id"), "_id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, part in utf8_slices(b, "_text"):
-                sets = shingle_sets(part, k)
-                ids = np.repeat(b.column("_id").slice(first, len(part)).to_numpy(), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["_id", "_g"])
-
-    grams = stage_table(own.mapInArrow(run, "_id long, _g long"), "grams")
-    for _ in range(rounds):
-        alone = grams.join(ids.select("_id"), "_id", "left_semi").groupBy("_g").agg(F.min("_id").alias("_id"), F.max("_id").alias("_h")).where("_id = _h").groupBy("_id").agg(F.count(F.lit(1)).alias("_u"))
-        now = ids.select("_id", "_n").join(alone, "_id", "left").select("_id", "_n", F.coalesce("_u", F.lit(0)).alias("_u")).where((F.col("_n") - F.col("_u")) * 100 >= F.col("_n") * percent)
-        ids = stage_table(now, "ids")
-    span = Window.partitionBy("_key")
-    left = apart.join(ids.select("_id", "_u"), "_id").withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h")
-    out = stage_table(left.select("_key", "_id", "_n", "_c", "_u"), "left")
-    drop_table(grams)
+def cross_pairs(apart: DataFrame, minhashes: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Pairs (_x, _y) of ids of apart(_key, _id, _n, _c) that share a key, have different _c, and enough of minhashes(_id, _m) in common; a pair that fails here is no link (see agreeing)."""
+    own = stage_table(apart.join(minhashes, "_id"), "members")
+    other = own.select("_key", F.col("_id").alias("_io"), F.col("_n").alias("_no"), F.col("_c").alias("_co"), F.col("_m").alias("_mo"))
+    fits = F.least("_n", "_no") * 100 >= F.greatest("_n", "_no") * percent
+    same = F.aggregate(F.zip_with("_m", "_mo", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = own.join(other, "_key").where((F.col("_id") > F.col("_io")) & (F.col("_c") != F.col("_co")) & fits & (same >= agreeing(percent, hashes)))
+    out = stage_table(pairs.select(F.col("_id").alias("_x"), F.col("_io").alias("_y")).distinct(), "pairs")
+    drop_table(own)
     return out
 
 
@@ -235,7 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     own = stage_table(sketches(texts, shingle, sub, rows), "sketches")
     known = own.where("_n > 0 AND _id IS NOT NULL")
-    classes = stage_table(known.groupBy("_n", "_f1", "_f2").agg(F.min("_id").alias("_rep"), F.any_value("_a").alias("_a"), F.any_value("_b").alias("_b")), "classes")
+    classes = stage_table(known.groupBy("_n", "_f1", "_f2").agg(F.min("_id").alias("_rep"), F.any_value("_a").alias("_a"), F.any_value("_b").alias("_b"), F.any_value("_m").alias("_m")), "classes")
     buckets = stage_table(bucket_rows(classes.select(F.col("_rep").alias("_id"), "_n", "_a", "_b")), "buckets")
     release_shuffles(spark)
 
@@ -255,12 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     apart = with_component(buckets.select("_key", "_id", "_n"), labels)
     span = Window.partitionBy("_key")
     apart = stage_table(apart.withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h").select("_key", "_id", "_n", "_c"), "apart")
-    left = linkable(apart, texts, shingle, percent)
-    other = left.select("_key", F.col("_id").alias("_io"), F.col("_c").alias("_co"), F.col("_n").alias("_no"), F.col("_u").alias("_uo"))
-    most = F.least(F.col("_n") - F.col("_u"), F.col("_no") - F.col("_uo"))  # of shared shingles; those of one set alone are in the union too
-    able = most * 100 >= (most + F.col("_u") + F.col("_uo")) * percent
-    pairs = left.join(other, "_key").where((F.col("_id") > F.col("_io")) & (F.col("_c") != F.col("_co")) & (F.least("_n", "_no") * 100 >= F.greatest("_n", "_no") * percent) & able)
-    pairs = pairs.select(F.col("_id").alias("_x"), F.col("_io").alias("_y")).distinct().join(tested, ["_x", "_y"], "left_anti")
+    pairs = cross_pairs(apart, classes.select(F.col("_rep").alias("_id"), "_m"), percent, 2 * sub * rows).join(tested, ["_x", "_y"], "left_anti")
     pairs = stage_table(pairs, "pairs")
     links = links.union(confirmed(pairs, texts, shingle, percent))
     # rows of one doc_id may be in several classes: they tie those classes together
