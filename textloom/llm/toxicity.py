@@ -21,7 +21,7 @@ WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 15, 6, 10
 GRAMS = (3, 4, 5)
 #: Training reads at most so many labelled rows of each class, and so many windows of each.
 TRAIN_TOXIC, TRAIN_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS = 800, 1600, 16, 6
-EPOCHS, BATCH, RATE = 4, 256, 0.02
+EPOCHS, BATCH, LEAST_STEPS, RATE = 4, 256, 60, 0.02
 #: After training, the cut between the classes' most toxic windows is moved to this score.
 CUT = 0.3
 SLICE_BYTES = 2_000_000
@@ -223,7 +223,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
             by = np.lexsort((-logit, own))
             rows = by[np.unique(own[by], return_index=True)[1]]
             rows = np.concatenate([rows, rows])
-        for part in np.array_split(g.permutation(rows), max(1, len(rows) // BATCH)):
+        for part in np.array_split(g.permutation(rows), min(len(rows), max(LEAST_STEPS, len(rows) // BATCH))):
             distinct, back = np.unique(grid[part], return_inverse=True)
             back = back.reshape(grid[part].shape) - int(distinct[0] == -1)
             distinct = distinct[distinct >= 0]

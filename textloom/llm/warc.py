@@ -142,7 +142,7 @@ def entries(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> D
         more = reached.join(jump, ["file", "offset"]).select("file", F.col("exit").alias("offset"))
         reached = stage_table(reached.union(more).distinct(), "reached")
         if k + 1 < rounds:
-            ahead = jump.withColumnsRenamed({"offset": "exit", "exit": "far"})
+            ahead = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("far"))
             jump = stage_table(jump.join(ahead, ["file", "exit"]).select("file", "offset", F.col("far").alias("exit")), "jumps")
     own = reached.withColumn("begin", (F.floor(F.col("offset") / split_bytes) * split_bytes).cast("long")).groupBy("file", "begin").agg(F.min("offset").alias("entry"))
     out = stage_table(own.join(splits, ["file", "begin"]).select("file", "size", "begin", "entry"), "entries")
