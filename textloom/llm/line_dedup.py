@@ -13,6 +13,8 @@ from .common import drop_table, hex_number, release_shuffles, stage_table, text_
 
 #: Mean lines of a chunk, and factor and modulus of the rolling hash over two lines.
 MEAN_LINES, FACTOR, MODULUS = 4, 31, 2147483647
+#: Bits of the map of documents that a step concerns: 8 MB at any size of the input. A full map only means that more texts are shuffled.
+MAP_BITS = 1 << 26
 
 
 def lines_of(text: Column) -> Column:
@@ -37,6 +39,20 @@ def chunk_text(span: Column) -> Column:
     return F.array_join(F.slice(F.col("_lines"), span["_start"] + 1, span["_len"]), "\n")
 
 
+def map_place() -> Column:
+    return F.pmod(F.xxhash64("_id", "_th"), F.lit(MAP_BITS)) + 1
+
+
+def marked(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Adds ``_maybe`` to rows(_id, _th): false only where no row of some(_id, _th) equals it. Tells which texts have to be shuffled to meet some."""
+    bits = some.select(F.bitmap_bucket_number(map_place()).alias("_bucket"), F.bitmap_bit_position(map_place()).alias("_bit"))
+    maps = bits.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    out = rows.withColumn("_bucket", F.bitmap_bucket_number(map_place())).withColumn("_bit", F.bitmap_bit_position(map_place()))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    return out.join(F.broadcast(maps), "_bucket", "left").withColumn("_maybe", maybe).drop("_bucket", "_bit", "_map")
+
+
 def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text`` (what is left), ``n_lines, n_removed, n_chunks`` (removed chunks).
 
@@ -48,8 +64,8 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "do
     repeated = stage_table(chunks.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "repeated")
     own = chunks.join(repeated, "_key").groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("_no", "_start", "_len", "_key"))).alias("_spans"))
 
-    own = own.withColumnsRenamed({"_id": "_i", "_th": "_t"})
-    texts = rows.join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).withColumn("_lines", lines_of(F.col("_text")))
+    own = stage_table(own.withColumnsRenamed({"_id": "_i", "_th": "_t"}), "spans")
+    texts = marked(rows, own.select(F.col("_i").alias("_id"), F.col("_t").alias("_th"))).where("_maybe").join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).withColumn("_lines", lines_of(F.col("_text")))
     cand = texts.select("_id", "_th", F.inline(F.transform("_spans", lambda s: F.struct(s["_no"].alias("_no"), s["_start"].alias("_start"), s["_len"].alias("_len"), s["_key"].alias("_key"), chunk_text(s).alias("_chunk")))))
     cand = stage_table(cand, "candidates")
     release_shuffles(docs.sparkSession)
@@ -60,18 +76,21 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "do
     again = cand.join(firsts, ["_key", "_chunk"]).where(~place.eqNullSafe(F.col("_first")))
     removed = again.groupBy("_id", "_th").agg(F.collect_set(F.struct("_start", "_len")).alias("_spans"))
     removed = stage_table(removed.withColumnsRenamed({"_id": "_i", "_th": "_t"}), "removed")
-    for table in (chunks, repeated, cand, firsts):
+    for table in (chunks, repeated, own, cand, firsts):
         drop_table(table)
     release_shuffles(docs.sparkSession)
 
-    out = rows.join(removed, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", lines_of(F.col("_text")))
+    seen = marked(rows, removed.select(F.col("_i").alias("_id"), F.col("_t").alias("_th")))
+    some = seen.where("_maybe").join(removed, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", lines_of(F.col("_text")))
     gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["_start"], s["_start"] + s["_len"] - 1)))
-    out = out.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
-    out = out.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
+    some = some.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
+    some = some.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
     left = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    return out.select(
+    some = some.select(
         F.col("_id").alias("doc_id"), left.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_chunks")
     )
+    whole = seen.where("NOT _maybe").select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.size(lines_of(F.col("_text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_chunks"))
+    return some.union(whole)
 
 
 #: DuckDB SQL for the digest columns of dedup_lines over documents with distinct ids.
