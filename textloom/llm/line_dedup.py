@@ -56,7 +56,7 @@ def marked(rows: DataFrame, some: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text`` (what is left), ``n_lines, n_removed, n_chunks`` (removed chunks).
 
-    Of equal chunks, that of the smallest (doc_id, text hash, chunk number) stays; null ids come last. A null text counts as empty and has one
+    Joins by document are merge joins at every size, so that none depends on an estimate of a broadcast side. Of equal chunks, that of the smallest (doc_id, text hash, chunk number) stays; null ids come last. A null text counts as empty and has one
     empty line; single-line chunks are never removed; rows equal in doc_id and text share one fate; extra columns are ignored; an empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_th", F.xxhash64("_text"))
@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "do
     own = chunks.join(repeated, "_key").groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("_no", "_start", "_len", "_key"))).alias("_spans"))
 
     own = stage_table(own.withColumnsRenamed({"_id": "_i", "_th": "_t"}), "spans")
-    texts = marked(rows, own.select(F.col("_i").alias("_id"), F.col("_t").alias("_th"))).where("_maybe").join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).withColumn("_lines", lines_of(F.col("_text")))
+    texts = marked(rows, own.select(F.col("_i").alias("_id"), F.col("_t").alias("_th"))).where("_maybe").join(own.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).withColumn("_lines", lines_of(F.col("_text")))
     cand = texts.select("_id", "_th", F.inline(F.transform("_spans", lambda s: F.struct(s["_no"].alias("_no"), s["_start"].alias("_start"), s["_len"].alias("_len"), s["_key"].alias("_key"), chunk_text(s).alias("_chunk")))))
     cand = stage_table(cand, "candidates")
     release_shuffles(docs.sparkSession)
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "do
     release_shuffles(docs.sparkSession)
 
     seen = marked(rows, removed.select(F.col("_i").alias("_id"), F.col("_t").alias("_th")))
-    some = seen.where("_maybe").join(removed, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", lines_of(F.col("_text")))
+    some = seen.where("_maybe").join(removed.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", lines_of(F.col("_text")))
     gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["_start"], s["_start"] + s["_len"] - 1)))
     some = some.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
     some = some.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
