@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, release_shuffles, stage_table, text_or_empty
+from .common import drop_table, give_back, release_shuffles, stage_table, text_or_empty
 
 #: A pair of similarity 0.8 is missed with probability 2 * (1 - 0.8 ** ROWS) ** SUB, about 4e-4, at 0.9 less than 1e-6.
 SUB, ROWS = 12, 3
@@ -124,6 +124,7 @@ def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
                         a[d], c[d], m[d] = row[:sub], row[sub:], part
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind), pa.array(m, pa.list_(pa.int8()))], names=["_id", "_n", "_f1", "_f2", "_a", "_b", "_m"])
+        give_back()
 
     return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>, _m array<tinyint>")
 
@@ -158,6 +159,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
                         same = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s)) if len(t) else 0
                     keep.append(same > 0 and 100 * same >= percent * (len(s) + len(t) - same))
                 yield b.slice(first, len(span)).select(["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
+        memo.clear()
+        give_back()
 
     out = stage_table(both.mapInArrow(run, "_x long, _y long").distinct(), "links")
     drop_table(ids)

@@ -7,6 +7,7 @@ range of documents without the others' pages (row groups and column indexes foll
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, text_or_empty
+from .common import give_back, new_path, text_or_empty
 
 #: Letters and signs for which the split below is the byte-level pre-tokenizer's; other texts go whole to the library.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -31,6 +32,8 @@ UNEVEN = rf"\s\s|(?:^|[^{LETTERS}0-9])[.,]"
 #: Pieces kept at once; beyond it the memo starts anew.
 MEMO_PIECES = 500_000
 SLICE_BYTES = 4_000_000
+#: Characters that go to the library at once; its result holds about a hundred bytes for each id.
+WHOLE_CHARS = 500_000
 
 
 class Encoder:
@@ -41,6 +44,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # tasks fill the cores already; threads of the library would only hold memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,7 +110,11 @@ class Encoder:
         return flat, np.diff(per_text)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        block = np.cumsum([len(t) for t in texts]) // WHOLE_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            found += [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
         return np.concatenate([*found, np.zeros(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +200,7 @@ def write_tokens(
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 at += int(offsets[-1])
+        give_back()
 
     out = rows.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
     writer = out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)

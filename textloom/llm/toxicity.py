@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 15, 6, 10, 8
@@ -280,6 +280,7 @@ def score_documents(docs: DataFrame, net: Network, threshold: float = 0.3, id_co
                 s = shared.value.scores(texts)
                 own = b.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        give_back()
 
     held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("_t"))
@@ -294,5 +295,6 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.3, text_col:
         for b in batches:
             for first, texts in text_slices(b.column(text_col)):
                 yield b.slice(first, len(texts)).filter(pa.array(shared.value.scores(texts) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
