@@ -208,3 +208,30 @@ def test_pipeline(spark, tmp_path):
             assert name == "source_mixing" or out.count() <= kept.count()
             kept = out
     assert out.count() == kept.count()
+
+
+@pytest.mark.parametrize("edits", [(0, 5), (3, 7), (5, 6)])
+def test_links_across_components_are_all_real_links(spark, edits):
+    """Families of near copies around a base that is there or not: components and links are those of brute force."""
+    rng = random.Random(sum(edits))
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(40)}" for _ in range(70)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randint(*edits)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(30 if rng.random() < 0.5 else 10**9)}"
+            texts.append(" ".join(words))
+    sets = [{*zip(t.split(), t.split()[1:])} for t in texts]
+    real = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    apart = spark.range(len(texts)).selectExpr("explode(array(id div 25, 3 + id % 3)) AS _key", "id AS _id", "id AS _c")
+    found = {(max(r), min(r)) for r in near_dup.cross_links(apart, rows, 2, 80).collect()}
+    assert found <= real
+    root = list(range(len(sets)))
+    whole = list(range(len(sets)))
+    for parents, pairs in ((root, found), (whole, real)):
+        for _ in sets:
+            for i, j in pairs:
+                parents[i] = parents[j] = min(parents[i], parents[j])
+    assert root == whole

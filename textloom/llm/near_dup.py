@@ -2,13 +2,13 @@
 
 Two collections of SUB sub-keys, each of ROWS minhashes, are paired into SUB * SUB table keys, so that 2 * SUB * ROWS minhashes serve as many tables
 as would else need SUB * SUB * 2 * ROWS. Documents with equal shingle sets are one class; classes that share a table key are candidates, and links are
-confirmed on full sets. In each bucket members are first compared with its smallest, then with its largest member, and what is
-still apart with the members of other components that have enough minhashes in common.
+confirmed on full sets. In each bucket members are first compared with its smallest, then with its largest member. What is still apart is compared by how
+it differs from the shingles that most sets of its family have: near copies share nearly all their shingles but few of their differences, so differences
+lead to links where whole sets would lead to all pairs of a family.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,20 +77,18 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(flat, np.cumsum(counts)[:-1])] if texts else []
 
 
-def sketch(sets: list[np.ndarray], sub: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sub-keys (documents x 2 * sub), set fingerprints (documents x 2) and a byte of each minhash of nonempty sets."""
+def sketch(sets: list[np.ndarray], sub: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sub-keys (documents x 2 * sub) and set fingerprints (documents x 2) of nonempty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     keys = np.zeros((len(sets), 2 * sub), U)
-    parts = np.zeros((len(sets), 2 * sub * rows), np.int8)
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 1 << 63, 2 * sub * rows, dtype=U) | U(1)
     for i in range(2 * sub * rows):
         least = np.minimum.reduceat((flat * factors[i]) ^ (flat >> U(29)), starts)
         keys[:, i // rows] = mixed(keys[:, i // rows] * U(0x2545F4914F6CDD1D) + least + U(i))
-        parts[:, i] = (mixed(least) & U(255)).astype(np.uint8).view(np.int8)
     prints = np.stack([np.add.reduceat(mixed(flat + U(1)), starts), np.add.reduceat(mixed(flat ^ U(0x5851F42D4C957F2D)), starts)], 1)
-    return keys, prints, parts
+    return keys, prints
 
 
 def utf8_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -104,7 +102,7 @@ def utf8_slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) ->
 
 
 def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
-    """rows(_id, _text) -> ``_id, _n, _f1, _f2, _a, _b, _m``; _a, _b and _m are null where the set is empty."""
+    """rows(_id, _text) -> ``_id, _n, _f1, _f2, _a, _b``; _a and _b are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,18 +113,17 @@ def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
                 f = np.zeros((len(sets), 2), np.int64)
                 a: list = [None] * len(sets)
                 c: list = [None] * len(sets)
-                m: list = [None] * len(sets)
                 if len(full):
-                    keys, prints, parts = sketch([sets[d] for d in full], sub, r)
+                    keys, prints = sketch([sets[d] for d in full], sub, r)
                     f[full] = prints.view(np.int64)
                     keys = keys.view(np.int64)
-                    for d, row, part in zip(full, keys, parts, strict=True):
-                        a[d], c[d], m[d] = row[:sub], row[sub:], part
+                    for d, row in zip(full, keys, strict=True):
+                        a[d], c[d] = row[:sub], row[sub:]
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind), pa.array(m, pa.list_(pa.int8()))], names=["_id", "_n", "_f1", "_f2", "_a", "_b", "_m"])
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind)], names=["_id", "_n", "_f1", "_f2", "_a", "_b"])
         give_back()
 
-    return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>, _m array<tinyint>")
+    return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>")
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -205,21 +202,79 @@ def with_component(rows: DataFrame, labels: DataFrame | None, id_col: str = "_id
     return rows.join(labels.select(F.col("_id").alias(id_col), F.col("_component").alias("_l")), id_col, "left").withColumn(out, F.coalesce("_l", id_col)).drop("_l")
 
 
-def agreeing(percent: int, hashes: int) -> int:
-    """Least number of equal minhashes that a pair of the similarity has but for a probability of about 2e-5."""
-    t = percent / 100
-    return max(0, math.floor(hashes * t - 4.15 * math.sqrt(hashes * t * (1 - t))))
+def member_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The sets of members(_id, _c, _g) -> ``_r, _id, _n, _c, _g, _s``, one row for each different set of an id."""
+    few = members.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(members) if few else members, "_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in utf8_slices(b, "_text"):
+                sets = shingle_sets(texts, k)
+                own = b.slice(first, len(texts))
+                n, prints = [len(x) for x in sets], [int(mixed(x + U(1)).sum(dtype=U).view(np.int64)) for x in sets]
+                s = pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([own.column("_id"), own.column("_c"), own.column("_g"), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), s], names=["_id", "_c", "_g", "_n", "_f", "_s"])
+        give_back()
+
+    sets = texts.mapInArrow(run, "_id long, _c long, _g long, _n long, _f long, _s array<long>").where("_n > 0").dropDuplicates(["_id", "_n", "_f"])
+    return sets.select(F.xxhash64("_id", "_n", "_f").alias("_r"), "_id", "_n", "_c", "_g", "_s")
 
-def cross_pairs(apart: DataFrame, minhashes: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """Pairs (_x, _y) of ids of apart(_key, _id, _n, _c) that share a key, have different _c, and enough of minhashes(_id, _m) in common; a pair that fails here is no link (see agreeing)."""
-    own = stage_table(apart.join(minhashes, "_id"), "members")
-    other = own.select("_key", F.col("_id").alias("_io"), F.col("_n").alias("_no"), F.col("_c").alias("_co"), F.col("_m").alias("_mo"))
-    fits = F.least("_n", "_no") * 100 >= F.greatest("_n", "_no") * percent
-    same = F.aggregate(F.zip_with("_m", "_mo", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = own.join(other, "_key").where((F.col("_id") > F.col("_io")) & (F.col("_c") != F.col("_co")) & fits & (same >= agreeing(percent, hashes)))
-    out = stage_table(pairs.select(F.col("_id").alias("_x"), F.col("_io").alias("_y")).distinct(), "pairs")
-    drop_table(own)
+
+def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (_x, _y) between ids of apart(_key, _id, _c) that share a key, or a chain of keys, and have different _c; exact on full sets.
+
+    Ids that keys connect are a family, and its pivot holds the shingles that more than half of its sets have. A set of n shingles has d differences: what it has
+    beside the pivot and what it lacks of it. Two sets with o differences in common differ by d + d' - 2 * o shingles, so they are linked if and only if
+    2 * (100 + percent) * o >= W + W', where W = (100 + percent) * d - (100 - percent) * n. Sets with W + (the least W of the family) <= 0 are linked with that
+    set whatever they share. All other links have a set beyond that and share so many differences that one is among the rarest few of both (a prefix filter on
+    differences, with positions).
+    """
+    span = Window.partitionBy("_key")
+    chains = apart.select(F.col("_id").alias("_x"), F.min("_id").over(span).alias("_y"))
+    families = components(chains)
+    members = stage_table(apart.select("_id", "_c").distinct().join(families.select("_id", F.col("_component").alias("_g")), "_id"), "members")
+    own = stage_table(member_sets(members, rows, k), "sets")
+    sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_z"))
+    most = own.select("_g", F.explode("_s").alias("_e")).groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k")).join(sizes, "_g").where("2 * _k > _z")
+    pivots = stage_table(most.groupBy("_g").agg(F.collect_list("_e").alias("_p")), "pivots")
+
+    pivot = F.coalesce("_p", F.array().cast("array<long>"))
+    differences = F.concat(F.array_except("_s", pivot), F.array_except(pivot, "_s"))
+    sets = own.join(pivots, "_g", "left").select("_r", "_id", "_n", "_c", "_g", differences.alias("_d"))
+    unit = 2 * (100 + percent)
+    sets = stage_table(sets.withColumn("_w", F.size("_d") * (100 + percent) - F.col("_n") * (100 - percent)), "differences")
+    least = sets.groupBy("_g").agg(F.min("_w").alias("_least"), F.min_by("_id", F.struct("_w", "_r")).alias("_best"))
+    sets = sets.join(least, "_g").withColumn("_far", F.col("_w") + F.col("_least") > 0)
+    far_least = sets.where("_far").groupBy("_g").agg(F.min("_w").alias("_far_least"))
+    # families without sets beyond have all their links by now
+    beyond = stage_table(sets.join(far_least, "_g"), "beyond")
+    certain = sets.where("NOT _far AND _id != _best").select(F.col("_id").alias("_x"), F.col("_best").alias("_y"))
+
+    flat = beyond.select("_g", "_r", F.explode("_d").alias("_e"))
+    rarity = flat.groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = flat.join(rarity, ["_g", "_e"]).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_k", "_e"))).alias("_o"))
+    need = lambda w: F.ceil((F.col("_w") + F.col(w)) / unit)
+    docs = beyond.join(ranked, "_r").withColumn("_size", F.size("_d")).withColumn("_to_far", F.col("_size") - need("_far_least") + 1)
+    docs = docs.withColumn("_to_near", F.when(F.expr("_far AND _least <= 0"), F.col("_size") - need("_least") + 1))
+    posted = docs.select("_g", "_r", "_c", "_n", "_w", "_far", "_size", "_to_far", "_to_near", F.posexplode("_o").alias("_at", "_oe"))
+    posted = posted.where((F.col("_at") < F.greatest("_to_far", F.coalesce("_to_near", "_to_far"))) & (F.col("_oe._k") > 1)).withColumn("_e", F.col("_oe._e")).drop("_oe")
+    posted = stage_table(posted, "posted")
+    other = posted.select("_g", "_e", *(F.col(c).alias(f"{c}o") for c in ("_r", "_c", "_n", "_w", "_far", "_size", "_to_far", "_at")))
+    near = ~F.col("_faro") & (F.col("_at") < F.col("_to_near"))
+    far = F.col("_faro") & (F.col("_at") < F.col("_to_far")) & (F.col("_ato") < F.col("_to_faro")) & (F.col("_r") < F.col("_ro"))
+    left = F.least(F.col("_size") - F.col("_at"), F.col("_sizeo") - F.col("_ato"))
+    fits = (F.least("_n", "_no") * 100 >= F.greatest("_n", "_no") * percent) & (left * unit >= F.col("_w") + F.col("_wo"))
+    pairs = posted.where("_far").join(other, ["_g", "_e"]).where((F.col("_c") != F.col("_co")) & fits & (near | far))
+    pairs = stage_table(pairs.select("_r", "_ro").distinct(), "pairs")
+
+    side = beyond.select("_r", "_id", "_w", "_d")
+    other = side.select(*(F.col(c).alias(f"{c}o") for c in side.columns))
+    shared = F.size(F.array_intersect("_d", "_do"))
+    found = pairs.join(side, "_r").join(other, "_ro").where(shared * unit >= F.col("_w") + F.col("_wo"))
+    out = stage_table(certain.union(found.select(F.col("_id").alias("_x"), F.col("_ido").alias("_y"))).distinct(), "links")
+    for t in (members, own, pivots, beyond, posted, pairs):
+        drop_table(t)
     return out
 
 
@@ -233,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     own = stage_table(sketches(texts, shingle, sub, rows), "sketches")
     known = own.where("_n > 0 AND _id IS NOT NULL")
-    classes = stage_table(known.groupBy("_n", "_f1", "_f2").agg(F.min("_id").alias("_rep"), F.any_value("_a").alias("_a"), F.any_value("_b").alias("_b"), F.any_value("_m").alias("_m")), "classes")
+    classes = stage_table(known.groupBy("_n", "_f1", "_f2").agg(F.min("_id").alias("_rep"), F.any_value("_a").alias("_a"), F.any_value("_b").alias("_b")), "classes")
     buckets = stage_table(bucket_rows(classes.select(F.col("_rep").alias("_id"), "_n", "_a", "_b")), "buckets")
     release_shuffles(spark)
 
@@ -252,10 +307,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     labels = stage_table(components(links), "labels")
     apart = with_component(buckets.select("_key", "_id", "_n"), labels)
     span = Window.partitionBy("_key")
-    apart = stage_table(apart.withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h").select("_key", "_id", "_n", "_c"), "apart")
-    pairs = cross_pairs(apart, classes.select(F.col("_rep").alias("_id"), "_m"), percent, 2 * sub * rows).join(tested, ["_x", "_y"], "left_anti")
-    pairs = stage_table(pairs, "pairs")
-    links = links.union(confirmed(pairs, texts, shingle, percent))
+    apart = stage_table(apart.withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h").select("_key", "_id", "_c"), "apart")
+    links = links.union(cross_links(apart, texts, shingle, percent))
     # rows of one doc_id may be in several classes: they tie those classes together
     ties = known.join(classes.select("_n", "_f1", "_f2", "_rep"), ["_n", "_f1", "_f2"]).where("_id != _rep").select(F.col("_id").alias("_x"), F.col("_rep").alias("_y")).distinct()
     labels = stage_table(components(links.union(ties)), "labels")
