@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints/textloom"
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,14 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of at most ARROW_BATCH_BYTES from now on in this session: else a batch is all text of a task, held on both sides and again in what a worker makes of it. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")
+    if old is None or not 0 < int(old[1]) <= ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the system at the end of a task: workers stay for later tasks and stages."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, give_back, release_shuffles, stage_table, text_or_empty
+from .common import bounded_batches, drop_table, give_back, release_shuffles, stage_table, text_or_empty
 
 #: A pair of similarity 0.8 is missed with probability 2 * (1 - 0.8 ** ROWS) ** SUB, about 4e-4, at 0.9 less than 1e-6.
 SUB, ROWS = 12, 3
@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     has a null component_id and is kept. Extra columns are ignored; an empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     own = stage_table(sketches(texts, shingle, sub, rows), "sketches")
     known = own.where("_n > 0 AND _id IS NOT NULL")

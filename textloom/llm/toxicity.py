@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, text_or_empty
+from .common import bounded_batches, give_back, text_or_empty
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 15, 6, 10, 8
@@ -272,6 +272,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def score_documents(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row, where it lies. Null and empty texts have one window without words; extra columns are ignored."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +290,7 @@ def score_documents(docs: DataFrame, net: Network, threshold: float = 0.3, id_co
 
 def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score below the threshold, with all their columns, unshuffled."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
