@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import queries
 from textloom.functions import urls as U
 from textloom.functions.stemmer import Rules, stem_array
 from textloom.functions.text import article_text, fnv1a, html_to_text
@@ -113,6 +115,18 @@ def test_urls(spark):
     assert one(U.should_follow(F.lit("https://a/b"), [], ["("])) is True
 
 
+def test_link_regions(spark, tmp_path):
+    parts = '<article>art</article><main class="m">one</main><main>two</main><div id="mw-pages">pages</div><div id="x">no</div><div class="c" id="mw-subcategories">subs</div><article id="b">icle</article>'
+    want = {
+        "https://example.org/wiki/Category:Sports": "pages subs", "https://example.org/wiki/Tennis": "", "https://example.org/wiki/Talk:Tennis": "", "https://example.org/en/1": "",
+        "https://example.com/sport": "one two", "https://example.com/sport/2024/jan/05/story": "art icle", "https://example.com/video/x": "art icle", "https://example.com/a/b/c/d": "art icle", "https://example.net/sport": "",
+    }
+    rows = [(k, url, parts) for k, url in enumerate(want)] + [(len(want), "https://example.com/sport", "<p>none</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["region_md5"] for r in queries.link_regions(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in enumerate([*want.values(), ""])}
+
+
 SCRAPES = [("u", 10, "t1", "one"), ("u", 20, "t2", "one"), ("u", 30, "t3", "two"), ("v", 15, "t", "x"), ("u", 40, "t4", "one")]
 
 

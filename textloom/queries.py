@@ -317,9 +317,7 @@ REGION = r"array_to_string(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(
 
 @query(f"SELECT page_id, md5(CASE WHEN contains(url, 'example.com') AND {NEWS} <> 'category' THEN {REGION} ELSE '' END) AS region_md5 FROM pages WHERE NOT contains(url, 'example.org') AND NOT (contains(url, 'example.com') AND {NEWS} = 'category')")
 def link_regions(spark: SparkSession, sf: str) -> DataFrame:
-    url = F.col("url")
-    rows = table(spark, sf, "pages").where(~url.contains("example.org") & ~(url.contains("example.com") & (U.page_type(url, FIXTURE_SITES) == U.CATEGORY)))
-    return rows.select("page_id", F.md5(U.link_region(F.col("html"), url, FIXTURE_SITES)).alias("region_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(U.link_region(F.col("html"), F.col("url"), FIXTURE_SITES)).alias("region_md5"))
 
 
 @query("SELECT page_id, md5(html) AS content_hash FROM pages")
