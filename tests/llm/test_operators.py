@@ -131,6 +131,22 @@ def test_suffix_dedup(docs):
     assert sum(v[1] for v in plain.values()) > 1000
 
 
+@pytest.mark.parametrize("size", [(1 << 24) - 1_900_001, (1 << 24) - 100_000, suffix_dedup.CHUNK, suffix_dedup.CHUNK + 1, 1 << 24])
+def test_anchors_of_long_texts(size):
+    """A passage at the end of a long text behind others in a batch has the anchors that it has alone."""
+    passage, r = hashlib.shake_128(b"p").digest(400), np.random.default_rng(size)
+    texts = [r.integers(0, 256, 1_900_000, dtype=np.uint8).tobytes(), r.integers(0, 256, size - 400, dtype=np.uint8).tobytes() + passage, b"", passage]
+    found = {1: set(), 3: set()}
+    for row, run, at in suffix_dedup.text_runs(texts):
+        assert sum(map(len, run)) <= suffix_dedup.CHUNK
+        bounds = np.cumsum([0, *map(len, run)])
+        doc, first, last, _, h = suffix_dedup.anchors(np.frombuffer(b"".join(run), np.uint8), bounds, 200)
+        for d in found:
+            here = (row + doc == d) & (last - bounds[doc] + at >= len(texts[d]) - 400)
+            found[d] |= set(h[here].tolist())
+    assert found[3] and found[1] == found[3]
+
+
 def test_decontaminate(spark, docs):
     items = [(1, " ".join(PASSAGE.split()[10:40])), (2, "A b"), (3, None), (4, ""), (5, say(13))]
     out = {r["doc_id"]: r for r in decontaminate.contamination_digests(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}

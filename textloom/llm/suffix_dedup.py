@@ -69,7 +69,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def text_runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
-    """Row number, texts and the offset of the first in its row's text: runs of whole rows of about SLICE_BYTES; texts over CHUNK by chunks that overlap."""
+    """Row number, texts and the offset of the first in its row's text: runs of whole rows of about SLICE_BYTES, CHUNK at most; texts over CHUNK by chunks that overlap."""
     first, held = 0, 0
     for j, t in enumerate(texts):
         if len(t) > CHUNK:
@@ -79,6 +79,9 @@ def text_runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
                 yield j, [t[at : at + CHUNK]], at
             first, held = j + 1, 0
             continue
+        if held + len(t) > CHUNK:
+            yield first, texts[first:j], 0
+            first, held = j, 0
         held += len(t)
         if held >= SLICE_BYTES or j == len(texts) - 1:
             yield first, texts[first : j + 1], 0
