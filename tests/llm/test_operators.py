@@ -131,6 +131,29 @@ def test_suffix_dedup(docs):
     assert sum(v[1] for v in plain.values()) > 1000
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_hot_anchor(spark, monkeypatch, rounds):
+    """A short string in unlike contexts, and strings repeated beside it: keys stay bounded and results are those of brute force."""
+    rng = random.Random(rounds)
+    letters = lambda n: "".join(rng.choices("abcdef ", k=n))
+    common, tails = letters(50), [letters(60) for _ in range(5)]
+    texts = {d: letters(90) + common + (rng.choice(tails) if d % 2 else letters(60)) + letters(40) for d in range(120)}
+    texts |= {200: texts[3], 201: texts[5] + texts[6], 202: common * 3, 203: None, 204: "é" * 90}
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "FINER_ROUNDS", rounds)
+    shards, sort = [], suffix_dedup.sort_shards
+
+    def spy(contexts, length, folder):
+        shards.extend(contexts.groupBy("_h").agg(F.sum(F.length("_c")).alias("b"), F.count("_c").alias("n")).collect())
+        return sort(contexts, length, folder)
+
+    monkeypatch.setattr(suffix_dedup, "sort_shards", spy)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeat_digests(rows, 64).collect()}
+    assert got == brute.repeats(texts, 64)
+    assert sum(v[1] for v in got.values()) > 5000 and all(r["b"] <= 1500 or r["n"] == 1 for r in shards)
+
+
 @pytest.mark.parametrize("size", [(1 << 24) - 1_900_001, (1 << 24) - 100_000, suffix_dedup.CHUNK, suffix_dedup.CHUNK + 1, 1 << 24])
 def test_anchors_of_long_texts(size):
     """A passage at the end of a long text behind others in a batch has the anchors that it has alone."""

@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by suffix sorting.
 
 Equal strings of LENGTH bytes have the same anchor: the smallest hashed GRAM-byte string inside. Starts are dealt out by anchor, so that equal strings meet in one shard with
-their contexts; anchors that occur once can't repeat and stay where they are. A shard's distinct contexts are suffix-sorted (suffix_array) and starts whose
+their contexts; anchors that occur once can't repeat and stay where they are. Starts of an anchor with many distinct contexts are dealt out again, by finer
+functions of their strings, until no key has more than HOT_BYTES. A shard's distinct contexts are suffix-sorted (suffix_array) and starts whose
 suffixes share LENGTH bytes are repeated. Contexts that many documents share are one context with a weight.
 """
 
@@ -20,17 +21,21 @@ from .suffix_array import QUEUE_BYTES, common_prefixes, suffix_array
 
 GRAM = 32
 SLICE_BYTES = 2_000_000
-#: Bytes of contexts that are sorted at once; the contexts of one anchor always stay together.
+#: Bytes of contexts that are sorted at once; the contexts of one key always stay together.
 SHARD_BYTES = 2 << 20
+#: Bytes of distinct contexts from which an anchor's starts are dealt out by finer keys.
+HOT_BYTES = 1 << 19
+#: Rounds of finer keys by a further anchor; the last round is by the whole string, of which a key has one context.
+FINER_ROUNDS = 3
 #: Positions are packed below the hash; longer texts are taken in chunks of starts.
 POSITION_BITS = 24
 CHUNK = (1 << POSITION_BITS) - 4096
 U = np.uint64
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram_hashes(raw: np.ndarray, gram: int = GRAM, seed: int = 5) -> np.ndarray:
     """A 64-bit hash of the gram bytes (a power of two) from each position on."""
-    h = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=U)[raw]
+    h = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=U)[raw]
     span = 1
     while span < gram:
         h = h[: len(h) - span] * U(0x9E3779B97F4A7C15 + 2 * span) + h[span:]
@@ -48,12 +53,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts raw[bounds[d]:bounds[d+1]]: text, first and last start, anchor position (all in raw) and anchor hash of every run of starts with one anchor."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none, none, none, none, none
-    h = gram_hashes(raw)
+    h = gram_hashes(raw, seed=seed)
     low = U((1 << POSITION_BITS) - 1)
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=U), length - GRAM + 1)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
@@ -123,6 +128,62 @@ def cut_contexts(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "_id long, _th long, _first long, _h long, _n int, _c binary")
 
 
+def string_keys(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts raw[bounds[d]:bounds[d+1]]: text, first and last start and a hash of the whole string, for every start."""
+    gram = 1 << (length.bit_length() - 1)
+    h = gram_hashes(raw, gram)
+    h = h[: len(raw) - length + 1] * U(0x9E3779B97F4A7C15) + h[length - gram :]
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(h)]
+    starts = np.flatnonzero(np.arange(len(h)) + length <= bounds[1:][doc])
+    return doc[starts], starts, starts, h[starts].view(np.int64)
+
+
+def finer_contexts(contexts: DataFrame, length: int, level: int) -> DataFrame:
+    """contexts(_id, _th, _first, _h, _n, _c) -> the same starts with finer keys, which equal strings of one key share, in contexts of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes, begin, old = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_th", "_first", "_h"))
+            for row, texts, _ in text_runs(b.column("_c").to_pylist()):
+                bounds = np.cumsum([0, *map(len, texts)])
+                raw = np.frombuffer(b"".join(texts), np.uint8)
+                if level < FINER_ROUNDS:
+                    doc, first, last, _, h = anchors(raw, bounds, length, 5 + level)
+                else:
+                    doc, first, last, h = string_keys(raw, bounds, length)
+                keys = (old[row + doc].view(U) * U(0x9E3779B97F4A7C15) + h.view(U)) * U(0xBF58476D1CE4E5B9)
+                for i in range(0, len(doc), 20_000):
+                    part = slice(i, i + 20_000)
+                    d, f, e = doc[part], first[part], last[part]
+                    cut = pa.array([raw[x : y + length].tobytes() for x, y in zip(f.tolist(), e.tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array(hashes[row + d]), pa.array(begin[row + d] + f - bounds[d]), pa.array(keys[part].view(np.int64)), pa.array((e - f + 1).astype(np.int32)), cut], names=["_id", "_th", "_first", "_h", "_n", "_c"])
+
+    return contexts.select("_id", "_th", "_first", "_h", "_n", "_c").mapInArrow(run, "_id long, _th long, _first long, _h long, _n int, _c binary").withColumn("_k", F.unhex(F.md5("_c")))
+
+
+def hot_keys(contexts: DataFrame, length: int) -> DataFrame | None:
+    """Keys with more than HOT_BYTES of distinct contexts; None if there are none."""
+    size = contexts.select("_h", "_k", "_n").distinct().groupBy("_h").agg(F.sum(F.col("_n") + (length - 1)).alias("_b"))
+    hot = stage_table(size.where(F.col("_b") > HOT_BYTES).select("_h"), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def split_hot(contexts: DataFrame, candidates: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """contexts with no key of more than HOT_BYTES of distinct contexts, beside keys of one context; and the tables to drop after use. candidates(_h): the keys that may be hot."""
+    cool, part, made = [], contexts, []
+    hot = None if candidates.isEmpty() else hot_keys(contexts.join(candidates, "_h", "left_semi"), length)
+    level = 1
+    while hot is not None:
+        cool.append(part.join(hot, "_h", "left_anti").select(*contexts.columns))
+        part = stage_table(finer_contexts(part.join(hot, "_h", "left_semi"), length, level), f"finer{level}")
+        made += [hot, part]
+        hot = hot_keys(part, length) if level < FINER_ROUNDS else None
+        level += 1
+    for c in cool:
+        part = part.unionByName(c)
+    return part, made
+
+
 def repeated_starts(contexts: list[bytes], weights: np.ndarray, groups: np.ndarray, length: int, folder: str | None) -> list[list[tuple[int, int]]]:
     """Of each context, the runs (begin, end) of its starts whose string also starts elsewhere in a context of the same group, or in a second owner of the same context."""
     sizes = np.array([len(c) for c in contexts])
@@ -152,7 +213,7 @@ def repeated_starts(contexts: list[bytes], weights: np.ndarray, groups: np.ndarr
 
 
 def sort_shards(contexts: DataFrame, length: int, folder: str | None) -> DataFrame:
-    """contexts(_h, _c, _w), dealt by _h -> ``_h, _k, _runs`` for contexts with repeated starts; _k is the context's md5."""
+    """contexts(_h, _c, _w), dealt by _h, no key with more than HOT_BYTES -> ``_h, _k, _runs`` for contexts with repeated starts; _k is the context's md5."""
 
     def flush(held: list) -> pa.RecordBatch:
         h = np.array([x[0] for x in held])
@@ -188,21 +249,24 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
     """rows(_id, _th, _text) -> ``_id, _th, _runs``: runs (begin, end) of the starts, in bytes, of repeated strings of a text; texts without are left out."""
     spark = rows.sparkSession
     found = stage_table(find_anchors(rows, length), "anchors")
-    twice = stage_table(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_w")).where("_w > 1").select("_h"), "twice")
-    runs = found.join(twice, "_h").groupBy("_id", "_th").agg(F.collect_set(F.struct("_first", "_n", "_h")).alias("_runs"))
+    twice = stage_table(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_w"), F.sum(F.col("_n") + (length - 1)).alias("_b")).where("_w > 1").select("_h", (F.col("_b") > HOT_BYTES).alias("_hot")), "twice")
+    candidates = stage_table(twice.where("_hot").select("_h"), "candidates")
+    runs = found.join(twice.select("_h"), "_h").groupBy("_id", "_th").agg(F.collect_set(F.struct("_first", "_n", "_h")).alias("_runs"))
     runs = stage_table(runs, "runs")
     drop_table(found)
     drop_table(twice)
     release_shuffles(spark)
     contexts = stage_table(cut_contexts(rows.join(runs, ["_id", "_th"]).select("_id", "_th", "_text", "_runs"), length).withColumn("_k", F.unhex(F.md5("_c"))), "contexts")
     release_shuffles(spark)
-    distinct = contexts.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_w"))
+    dealt, made = split_hot(contexts, candidates, length)
+    release_shuffles(spark)
+    distinct = dealt.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_w"))
     marked = stage_table(sort_shards(distinct, length, spill_folder(spark)), "marked")
     release_shuffles(spark)
-    back = contexts.select("_id", "_th", "_first", "_h", "_k").join(marked, ["_h", "_k"])
+    back = dealt.select("_id", "_th", "_first", "_h", "_k").join(marked, ["_h", "_k"])
     spans = F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_first")).alias("a"), (r["b"] + F.col("_first")).alias("b")))
     out = stage_table(back.select("_id", "_th", F.inline(spans)).groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("_runs")), "repeats")
-    for t in (runs, contexts, marked):
+    for t in (runs, candidates, contexts, marked, *made):
         drop_table(t)
     release_shuffles(spark)
     return out
