@@ -203,6 +203,16 @@ def test_warc(spark):
         assert all(out[k]["payload_bytes"] == len((h or "").encode()) for k, _, h in pages)
 
 
+def test_warc_long_url(spark):
+    """Headers of any length are read, also over several splits, and beside magic that no header follows."""
+    pages = [(1, "u" * 70_000, "a"), (2, "v" * 300_000, ""), (3, "w", "WARC/1.1\r\n" * 9000), (4, "é" * 65_000, "b" * 5000), (5, "x", "WARC/1.1\r\nContent-Length: 7\r\nA: " + "y" * 90_000)]
+    path = warc.new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    for split in (5000, 1 << 20):
+        out = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in warc.read_warc(spark, path, split).collect()}
+        assert out == {k: (len(h), "response") for k, _, h in pages}
+
+
 def test_near_duplicates(docs):
     out = {r["doc_id"]: r for r in near_dup.near_duplicates(docs, shingle=2).collect()}
     sets = []

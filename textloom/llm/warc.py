@@ -21,7 +21,7 @@ from .common import drop_table, new_path, stage_table, text_or_empty
 #: Up to so many repeated payloads (about 100 bytes each) are broadcast to the pages; beyond it they are joined.
 BROADCAST_PAYLOADS = 200_000
 SPLIT_BYTES = 4 << 20
-#: A header longer than this is not taken for a record.
+#: Bytes behind a split that are read with it; where a header ends later, more is read until it ends.
 HEADER_BYTES = 64 << 10
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", re.IGNORECASE)
@@ -93,13 +93,30 @@ def open_file(uri: str) -> pa.NativeFile:
     return system.open_input_file(name)
 
 
-def header_at(data: bytes, at: int) -> tuple[int, int] | None:
-    """Sizes of the header that begins at at and of its block."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    found = LENGTH.search(data, at, end + 2)
-    return (end + 4 - at, int(found[1])) if found else None
+class Headers:
+    """Headers in the data of a file from begin on, which grows until a header ends; positions must ascend."""
+
+    def __init__(self, file: pa.NativeFile, begin: int, n: int):
+        file.seek(begin)
+        self.file, self.data, self.end, self.length = file, file.read(n), -1, None
+
+    def grow(self, n: int) -> bool:
+        more = self.file.read(n)
+        self.data += more
+        return bool(more)
+
+    def at(self, at: int) -> tuple[int, int] | None:
+        """Sizes of the header that begins at at and of its block; None where it isn't a header."""
+        if self.end < at:
+            end, seen = self.data.find(b"\r\n\r\n", at), len(self.data)
+            while end < 0 and self.grow(max(HEADER_BYTES, seen)):
+                end, seen = self.data.find(b"\r\n\r\n", max(at, seen - 3)), len(self.data)
+            if end < 0:
+                return None
+            self.end, self.length = end, LENGTH.search(self.data, at, end + 2)
+        elif self.length and self.length.start() < at:
+            self.length = LENGTH.search(self.data, at, self.end + 2)
+        return (self.end + 4 - at, int(self.length[1])) if self.length else None
 
 
 def candidates(splits: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -108,17 +125,16 @@ def candidates(splits: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                with open_file(row["file"]) as f:
-                    f.seek(row["begin"])
-                    data = f.read(split_bytes + HEADER_BYTES)
                 end = min(row["begin"] + split_bytes, row["size"])
                 found = []
-                for m in MAGIC.finditer(data):
-                    if m.start() >= split_bytes:
-                        break
-                    if sizes := header_at(data, m.start()):
-                        at = row["begin"] + m.start()
-                        found.append((at, at + sum(sizes) + 4))
+                with open_file(row["file"]) as f:
+                    headers = Headers(f, row["begin"], split_bytes + HEADER_BYTES)
+                    for m in MAGIC.finditer(headers.data):
+                        if m.start() >= split_bytes:
+                            break
+                        if sizes := headers.at(m.start()):
+                            at = row["begin"] + m.start()
+                            found.append((at, at + sum(sizes) + 4))
                 leaves: dict[int, int] = {}
                 for at, after in reversed(found):
                     if after >= end:
@@ -159,17 +175,17 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
     def records(row: dict) -> Iterator[tuple]:
         end = min(row["begin"] + split_bytes, row["size"])
         with open_file(row["file"]) as f:
-            f.seek(row["begin"])
-            data = f.read(split_bytes + HEADER_BYTES)
+            headers = Headers(f, row["begin"], split_bytes + HEADER_BYTES)
             at = row["entry"] - row["begin"]
             while row["begin"] + at < end:
-                sizes = header_at(data, at) if MAGIC.match(data, at) else None
+                sizes = headers.at(at) if MAGIC.match(headers.data, at) else None
                 if sizes is None:
                     raise ValueError(f"no WARC record at {row['begin'] + at} of {row['file']}")
-                head = dict(x.split(": ", 1) for x in data[at : at + sizes[0]].decode().split("\r\n")[1:] if ": " in x)
                 first, last = at + sizes[0], at + sum(sizes)
-                if last > len(data):
-                    data += f.read(last - len(data))
+                if last > len(headers.data):
+                    headers.grow(last - len(headers.data))
+                data = headers.data
+                head = dict(x.split(": ", 1) for x in data[at : at + sizes[0]].decode().split("\r\n")[1:] if ": " in x)
                 payload = data[data.index(b"\r\n\r\n", first, last) + 4 : last]
                 digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                 if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
