@@ -259,6 +259,57 @@ def test_pipeline(spark, tmp_path):
     assert out.count() == kept.count()
 
 
+def test_pipeline_stages_keep_what_plain_versions_keep(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rng, bad = random.Random(9), ["grimwort", "foulest", "slimeball"]
+    words = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    passage = [words(30) for _ in range(3)]
+    texts = [words(rng.randint(30, 90)) for _ in range(150)]
+    for t in texts[:50]:
+        t[rng.randrange(len(t))] = rng.choice(bad)
+    base = words(100)
+    for k in range(12):  # near copies: some above, some below four fifths
+        near = list(base)
+        for _ in range(k // 2):
+            near[rng.randrange(100)] = f"n{k}"
+        texts.append(near)
+    texts += [list(base), words(3), [], passage[0] + words(10), words(20) + passage[1][:13] + words(20), words(300) + passage[2][:13], words(20) + passage[2][:12] + words(9)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(len(texts), None), (None, "lone text")]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 50)) for k in range(150)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passage)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = lambda stage: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, sf).collect()), key=str)
+    split = [(d, t, (t or "").split()) for d, t in rows]
+
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    worst = lambda w: max(net.scores([" ".join(w[a : a + 24]) for a in range(0, max(1, len(w) - 12), 12)]))
+    clean = sorted(((d, t) for d, t, w in split if worst(w) < 0.3), key=str)
+    assert kept(c.toxicity_stage) == clean and 90 < len(clean) < 160
+
+    sets = [({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())) for _, _, w in split]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if x and sets[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if all(root[root[i]] == root[i] for i in range(len(root))):
+            break
+    single = sorted(((d, t) for k, (d, t, _) in enumerate(split) if root[k] == k), key=str)
+    assert kept(c.near_dup_stage) == single and len(single) < len(rows) - 3
+
+    windows = {tuple(p[k : k + 13]) for p in passage for k in range(len(p) - 12)}
+    clear = []
+    for d, t, w in split:
+        marked = {i for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for i in range(k, k + 13)}
+        if not (marked and 20 * len(marked) >= len(w)):
+            clear.append((d, t))
+    assert kept(c.decontamination_stage) == sorted(clear, key=str) and len(clear) == len(rows) - 2
+
+
 @pytest.mark.parametrize("edits", [(0, 5), (3, 7), (5, 6)])
 def test_links_across_components_are_all_real_links(spark, edits):
     """Families of near copies around a base that is there or not: components and links are those of brute force."""
