@@ -7,22 +7,24 @@ a document's score is that of its most toxic window. Only the text is an input.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, text_or_empty
+from .common import bounded_batches, drop_table, give_back, stage_table, text_or_empty
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN = 1 << 13, 1 << 15, 6, 10, 8
 GRAMS = (3, 4, 5)
-#: Training reads at most so many labelled rows of each class, and so many windows of each.
+#: Training reads at most so many labelled rows of each class; the first two epochs so many windows of each, the others choose among all of its windows.
 TRAIN_TOXIC, TRAIN_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS = 800, 1600, 16, 6
-EPOCHS, BATCH, LEAST_STEPS, RATE = 4, 256, 60, 0.02
-#: After training, the cut between the classes' most toxic windows is moved to this score.
+#: One labelled row in so many is held back from training to choose the epoch and the cut.
+HOLD_BACK = 6
+EPOCHS, BATCH, LEAST_STEPS, RATE = 5, 256, 60, 0.02
+#: The cut between the classes' most toxic windows is moved to this score.
 CUT = 0.3
 SLICE_BYTES = 2_000_000
 U = np.uint64
@@ -163,101 +165,180 @@ class Network:
         g["char"] = np.stack([np.bincount(grams, each[:, i], CHAR_BUCKETS) for i in range(CHAR_DIM)], 1).astype(np.float32)
         return g
 
-    def calibrate(self, texts: list[str], label: np.ndarray) -> None:
-        """Move the bias so that the cut with the fewest errors among the labelled texts, in the middle of its gap, gets the score CUT."""
-        top = self.logits(texts)
-        order = np.argsort(top)
-        top, y = top[order], label[order] > 0
-        errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(~y[::-1])[::-1], [0]])
-        k = np.flatnonzero(errors == errors.min())
-        k = int(k[len(k) // 2])
-        low, high = (top[k - 1] if k else top[0] - 1), (top[k] if k < len(top) else top[-1] + 1)
-        self.p["b"] = self.p["b"] + np.float32(np.log(CUT / (1 - CUT)) - (low + high) / 2)
+    def calibrate(self, top: np.ndarray, label: np.ndarray) -> None:
+        """Move the bias so that the cut with the fewest errors among labelled rows' logits, each counted by how far it lies on the wrong side of the cut, gets the score CUT."""
+        y = label > 0
+        cuts = np.linspace(top.min() - 1, top.max() + 1, 400)
+        errors = np.array([sigmoid(c - top[y]).sum() + sigmoid(top[~y] - c).sum() for c in cuts])
+        self.p["b"] = self.p["b"] + np.float32(np.log(CUT / (1 - CUT)) - cuts[errors.argmin()])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The score of each text's most toxic window."""
-        return 1 / (1 + np.exp(-self.logits(texts)))
+        return 1 / (1 + np.exp(-self.highest(texts)[0]))
 
-    def logits(self, texts: list[str], rows: int = 4096) -> np.ndarray:
+    def highest(self, texts: list[str], rows: int = 4096) -> tuple[np.ndarray, list[str]]:
+        """Logit and words of each text's most toxic window, the first of equal ones."""
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), []
         words, ids, counts = words_of(texts)
         inputs = self.inputs(self.embed(word_features(words)))
         begin, size, doc = windows_of(counts)
-        best = np.full(len(texts), -np.inf)
+        logit = np.zeros(len(begin))
         ids = np.append(ids, -1)
         for k in range(0, len(begin), rows):
             b, s = begin[k : k + rows, None], size[k : k + rows, None]
             steps = np.arange(max(1, int(s.max())))
             own = np.where(steps < s, ids[np.minimum(b + steps, len(ids) - 1)], -1)
-            np.maximum.at(best, doc[k : k + rows], self.run(inputs, own)[0])
-        return best
+            logit[k : k + rows] = self.run(inputs, own)[0]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        best = np.maximum.reduceat(logit, first)
+        at = np.flatnonzero(logit == best[doc])
+        at = at[np.unique(doc[at], return_index=True)[1]]
+        return best, [window_text(words, ids, begin[k], size[k]) for k in at]
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
-    """First all sampled windows with their document's label, then of each document the window that scores highest."""
-    net, g = Network(seed), np.random.default_rng(seed)
-    if not texts or len(set(toxic)) < 2:
-        return net
+def window_text(words: list[bytes], ids: np.ndarray, begin: int, size: int) -> str:
+    return b" ".join(words[i] for i in ids[begin : begin + size].tolist()).decode("utf-8", "replace")
+
+
+def drawn_windows(texts: list[str], keys: list[int], toxic: list[int]) -> list[list[str]]:
+    """Of each text at most TOXIC_WINDOWS or CLEAN_WINDOWS windows, drawn by its key."""
     words, ids, counts = words_of(texts)
-    features = word_features(words)
     begin, size, doc = windows_of(counts)
-    label = np.array(toxic, np.float32)
-    turn = g.permutation(len(doc))
-    rank = np.zeros(len(doc), np.int64)  # of a window among its document's, in random order
-    order = turn[np.argsort(doc[turn], kind="stable")]
-    number = np.bincount(doc, minlength=len(texts))
-    rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-    used = np.flatnonzero(rank < np.where(label[doc] > 0, TOXIC_WINDOWS, CLEAN_WINDOWS))
-    ids = np.append(ids, -1)
-    steps = np.arange(WINDOW)
-    grid = np.where(steps < size[used, None], ids[np.minimum(begin[used, None] + steps, len(ids) - 1)], -1)
-    own, target = doc[used], label[doc[used]]
-    gram_at = np.cumsum(features[2]) - features[2]
-    m, v, count = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
-    rows = np.arange(len(used))
-    for epoch in range(EPOCHS):
-        if epoch >= 2:  # the highest window of each document
-            everything = net.inputs(net.embed(features))
-            logit = np.concatenate([net.run(everything, grid[k : k + 4096])[0] for k in range(0, len(grid), 4096)])
-            by = np.lexsort((-logit, own))
-            rows = by[np.unique(own[by], return_index=True)[1]]
-            rows = np.concatenate([rows, rows])
-        for part in np.array_split(g.permutation(rows), min(len(rows), max(LEAST_STEPS, len(rows) // BATCH))):
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    out = []
+    for d, (key, label) in enumerate(zip(keys, toxic, strict=True)):
+        g = np.random.default_rng(key & 0xFFFFFFFF)
+        chosen = g.permutation(np.arange(bounds[d], bounds[d + 1]))[: TOXIC_WINDOWS if label else CLEAN_WINDOWS]
+        out.append([window_text(words, ids, begin[k], size[k]) for k in chosen])
+    return out
+
+
+#: A labelled window: its row's key, label and whether the row is held back, the window's words, and the logit of the row's most toxic window.
+Window = tuple[int, int, bool, str, float]
+Miner = Callable[["Network | None"], list[Window]]
+
+
+def mine_rows(net: Network | None, keys: list[int], toxic: list[int], held: list[bool], texts: list[str]) -> list[Window]:
+    """Without a network the drawn windows of each row, with one the row's most toxic window of all."""
+    if net is None:
+        return [(k, y, h, w, 0.0) for k, y, h, ws in zip(keys, toxic, held, drawn_windows(texts, keys, toxic), strict=True) for w in ws]
+    logits, windows = net.highest(texts)
+    return list(zip(keys, toxic, held, windows, logits.tolist(), strict=True))
+
+
+class Trainer:
+    """Adam over minibatches of windows."""
+
+    def __init__(self, net: Network, g: np.random.Generator):
+        self.net, self.g, self.count = net, g, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+
+    def epoch(self, windows: list[str], toxic: np.ndarray, times: int, rate: float) -> None:
+        words, ids, counts = words_of(windows)
+        features, ids = word_features(words), np.append(ids, -1)
+        begin, steps = np.cumsum(counts) - counts, np.arange(WINDOW)
+        grid = np.where(steps < counts[:, None], ids[np.minimum(begin[:, None] + steps, len(ids) - 1)], -1)
+        gram_at = np.cumsum(features[2]) - features[2]
+        rows = np.tile(np.arange(len(windows)), times)
+        for part in np.array_split(self.g.permutation(rows), min(len(rows), max(LEAST_STEPS, len(rows) // BATCH))):
             distinct, back = np.unique(grid[part], return_inverse=True)
             back = back.reshape(grid[part].shape) - int(distinct[0] == -1)
             distinct = distinct[distinct >= 0]
             n = features[2][distinct]
             grams = features[1][np.repeat(gram_at[distinct] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            few = (features[0][distinct], grams, n)
-            emb = net.embed(few)
-            logit, kept = net.run(net.inputs(emb), back, keep=True)
-            slope = ((sigmoid(logit) - target[part]) / len(part)).astype(np.float32)
-            count += 1
-            for k, grad in net.back(emb, few, back, kept, slope).items():
-                m[k] += np.float32(0.1) * (grad - m[k])
-                v[k] += np.float32(0.01) * (grad * grad - v[k])
-                net.p[k] -= np.float32(RATE * (0.5 if epoch == EPOCHS - 1 else 1)) * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.99**count)) + np.float32(1e-7))
-    net.calibrate(texts, label)
-    return net
+            self.step((features[0][distinct], grams, n), back, toxic[part], rate)
+
+    def step(self, features: tuple, ids: np.ndarray, toxic: np.ndarray, rate: float) -> None:
+        net, emb = self.net, self.net.embed(features)
+        logit, kept = net.run(net.inputs(emb), ids, keep=True)
+        slope = ((sigmoid(logit) - toxic) / len(toxic)).astype(np.float32)
+        self.count += 1
+        for k, grad in net.back(emb, features, ids, kept, slope).items():
+            self.m[k] += np.float32(0.1) * (grad - self.m[k])
+            self.v[k] += np.float32(0.01) * (grad * grad - self.v[k])
+            net.p[k] -= np.float32(rate) * (self.m[k] / (1 - 0.9**self.count)) / (np.sqrt(self.v[k] / (1 - 0.99**self.count)) + np.float32(1e-7))
+
+
+def learn(mine: Miner, seed: int = 3) -> Network:
+    """First all drawn windows with their row's label, then in each epoch the window of each row that scores highest of all its windows.
+
+    Rows held back are never trained on: of the states after each epoch that with the fewest errors on them stays (the smaller loss if equal), and they set the cut.
+    Without both labels among the rows to train on the network stays as drawn, with low scores.
+    """
+    net = Network(seed)
+    rows = sorted(mine(None))
+    if len({y for _, y, h, _, _ in rows if not h}) < 2:
+        return net
+    trainer = Trainer(net, np.random.default_rng(seed))
+    best: tuple | None = None
+    for epoch in range(EPOCHS):
+        own = [r for r in rows if not r[2]]
+        trainer.epoch([r[3] for r in own], np.array([r[1] for r in own], np.float32), 1 if epoch < 2 else 2, RATE * (0.5 if epoch == EPOCHS - 1 else 1))
+        if epoch == 0:
+            continue
+        rows = sorted(mine(net))
+        apart = [r for r in rows if r[2]]
+        apart = apart if len({r[1] for r in apart}) == 2 else rows
+        top, label = np.array([r[4] for r in apart]), np.array([r[1] for r in apart], np.float32)
+        state = Network(seed)
+        state.p = {k: x.copy() for k, x in net.p.items()}
+        state.calibrate(top, label)
+        top = top + float(state.p["b"][0] - net.p["b"][0])
+        judged = (int(((sigmoid(top) >= CUT) != (label > 0)).sum()), float(np.mean(np.logaddexp(0, np.where(label > 0, -top, top)))))
+        if best is None or judged < best[0]:
+            best = (judged, state)
+    return best[1] if best else net
+
+
+def train(texts: list[str], toxic: list[int], seed: int = 3) -> Network:
+    """learn() from texts in memory; each HOLD_BACK-th row is held back."""
+    keys = list(range(len(texts)))
+    return learn(lambda net: mine_rows(net, keys, toxic, [k % HOLD_BACK == HOLD_BACK - 1 for k in keys], texts), seed)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
-    """At most TRAIN_TOXIC and TRAIN_CLEAN rows whose crc32(doc_id) mod 4 is not 2, in the order of a hash."""
-    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").alias("_i"), "toxic").distinct()
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_k, _i, _y, _held, _t``: at most TRAIN_TOXIC and TRAIN_CLEAN labelled ids whose crc32(doc_id) mod 4 is not 2, one row for each id and label (of several the text of the smallest hash)."""
+    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").alias("_i"), F.col("toxic").cast("int").alias("_y")).distinct()
     known = known.where(F.pmod(F.crc32(F.col("_i").cast("string").cast("binary")), F.lit(4)) != 2)
     chosen = None
     for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        some = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("_i", F.lit(11)), "_i").limit(most)
+        some = known.where(F.col("_y") == kind).orderBy(F.xxhash64("_i", F.lit(11)), "_i").limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    rows = docs.select(F.col(id_col).alias("_i"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_i").select("_i", "_t", "toxic").toPandas()
-    rows = rows.sort_values(["_i", "_t", "toxic"])
-    return rows["_t"].tolist(), rows["toxic"].astype(int).tolist()
+    rows = docs.select(F.col(id_col).alias("_i"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_i")
+    rows = rows.groupBy("_i", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t").alias("t"))).alias("_m"))
+    held = F.pmod(F.xxhash64("_i", F.lit(12)), F.lit(HOLD_BACK)) == 0
+    return rows.select(F.xxhash64("_i", "_y", F.lit(13)).alias("_k"), "_i", "_y", held.alias("_held"), F.col("_m.t").alias("_t"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """The network for labels(doc_id, toxic); null labels don't count. Without both labels in the sample it stays as drawn, with low scores."""
-    return train(*labelled_sample(docs, labels, id_col, text_col))
+    """The network for labels(doc_id, toxic); null labels and null ids don't count, extra columns are ignored.
+
+    Windows are cut and scored where the sampled rows lie: the driver gets at most TOXIC_WINDOWS or CLEAN_WINDOWS windows of a row, never a text.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = stage_table(labelled_sample(docs, labels, id_col, text_col), "labelled")
+
+    def mine(net: Network | None) -> list[Window]:
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                columns = [b.column(c).to_pylist() for c in ("_k", "_y", "_held")]
+                for first, texts in text_slices(b.column("_t")):
+                    found = mine_rows(shared.value, *(c[first : first + len(texts)] for c in columns), texts)
+                    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["k", "y", "held", "w", "top"])
+            give_back()
+
+        out = [tuple(r) for r in rows.mapInArrow(run, "k long, y int, held boolean, w string, top double").collect()]
+        shared.destroy()
+        return out
+
+    net = learn(mine)
+    drop_table(rows)
+    return net
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
