@@ -121,6 +121,7 @@ def sketches(rows: DataFrame, k: int, sub: int, r: int) -> DataFrame:
                         a[d], c[d] = row[:sub], row[sub:]
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(a, kind), pa.array(c, kind)], names=["_id", "_n", "_f1", "_f2", "_a", "_b"])
+        powers.cache_clear()
         give_back()
 
     return rows.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _a array<long>, _b array<long>")
@@ -157,6 +158,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
                     keep.append(same > 0 and 100 * same >= percent * (len(s) + len(t) - same))
                 yield b.slice(first, len(span)).select(["_x", "_y"]).filter(pa.array(keep, pa.bool_()))
         memo.clear()
+        powers.cache_clear()
         give_back()
 
     out = stage_table(both.mapInArrow(run, "_x long, _y long").distinct(), "links")
@@ -215,6 +217,7 @@ def member_sets(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 n, prints = [len(x) for x in sets], [int(mixed(x + U(1)).sum(dtype=U).view(np.int64)) for x in sets]
                 s = pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([own.column("_id"), own.column("_c"), own.column("_g"), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), s], names=["_id", "_c", "_g", "_n", "_f", "_s"])
+        powers.cache_clear()
         give_back()
 
     sets = texts.mapInArrow(run, "_id long, _c long, _g long, _n long, _f long, _s array<long>").where("_n > 0").dropDuplicates(["_id", "_n", "_f"])

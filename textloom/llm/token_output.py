@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, new_path, text_or_empty
+from .common import bounded_batches, give_back, new_path, text_or_empty
 
 #: Letters and signs for which the split below is the byte-level pre-tokenizer's; other texts go whole to the library.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -180,6 +180,7 @@ def write_tokens(
     "given" keeps the rows where they are, for input that was shuffled on purpose. encoding: "dictionary" or "delta".
     A null text counts as empty, rows with equal ids each get their own row, extra columns are ignored, an empty table gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     if order == "id":
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -200,6 +201,7 @@ def write_tokens(
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 at += int(offsets[-1])
+        encoder(tokenizer_path).reset()
         give_back()
 
     out = rows.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
