@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark contamination, source mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four return the columns of documents; the last returns
-``doc_id, start, n_tokens, ids_crc32`` of the token table it wrote and read back, in the order that mixing left. Documents whose doc_id repeats after mixing keep a row for each copy.
+``doc_id, start, n_tokens, ids_crc32`` of the token table it wrote and read back. Mixing leaves files of rows in random order; tokens are numbered in the order in which Spark
+reads these files, which depends on their sizes, so that start isn't the rank of the mixing key. Documents whose doc_id repeats after mixing keep a row for each copy.
+Every stage gives an empty table for an empty one; null and empty texts are clean, nobody's near copy, free of benchmark words, and become their end id alone. Rows equal in doc_id share
+their fate in the near-duplicate stage and their count in mixing; a null doc_id is a document of its own. Columns beside doc_id, text and source are carried along.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in the order given."""
+    """Token ids, numbered in the order in which the rows are read."""
     return token_output.encode_documents(docs, tokenizer_path(), order="given")
 
 

@@ -25,10 +25,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, defau
 
     weights are relative; a source not named has default_weight; weight 0 leaves a source out. target_rows: all rows if None.
     """
-    spark = docs.sparkSession
     counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
-    named = spark.createDataFrame(list((weights or {}).items()), "_name string, _weight double")
-    counts = counts.join(named, F.col("source") == F.col("_name"), "left").select("source", "n_rows", F.coalesce("_weight", F.lit(float(default_weight))).alias("_w"))
+    own = F.lit(float(default_weight))
+    if weights:
+        named = F.create_map(*(F.lit(x) for name, weight in weights.items() for x in (name, float(weight))))
+        own = F.coalesce(F.try_element_at(named, F.col("source")), own)
+    counts = counts.select("source", "n_rows", own.alias("_w"))
     counts = stage_table(counts, "sources")
     total, weight = counts.agg(F.sum("n_rows"), F.sum("_w")).first()
     rows = float(target_rows if target_rows is not None else total or 0)
@@ -48,24 +50,36 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, defau
     return stage_table(table.select("source", "n_rows", "rate", "parts", F.when(F.col("_mean") > 0, cdf).otherwise(F.array(F.lit(1.0))).alias("cdf"), (F.col("_mean") > 0).alias("_used")), "rates")
 
 
+def numbered_without_id(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """``_row, _ident, _own``: the rows with an id under it, those without under a number of their own, written down once so that a retry draws the same."""
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("string").alias("_ident"), F.col(f"`{source_col}`").cast("string").alias("_own"))
+    if docs.where(F.col(f"`{id_col}`").isNull()).isEmpty():
+        return found
+    loose = stage_table(found.where("_ident IS NULL").withColumn("_ident", F.concat(F.lit("null:"), F.monotonically_increasing_id())), "without_id")
+    return found.where("_ident IS NOT NULL").unionByName(loose)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, target_rows: int | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The input's columns plus ``_copy`` (from 1) and ``_mix_key``, in the global order of _mix_key.
 
-    Rows of equal doc_id get the same count; a null doc_id counts as the text "null", a null source is a source of its own; texts aren't looked
-    at; an empty table gives an empty table. Input columns named _copy or _mix_key are replaced. The rate table is broadcast up to BROADCAST_SOURCES sources; beyond that, rows are joined to it over SALTS salts.
+    Rows of equal doc_id get the same count, so their total misses the target by more than single rows would: its variance is the rate times the sum of the squares of the
+    repeats. Rows without a doc_id are drawn one by one. A null source is a source of its own; texts aren't looked at; an empty table gives an empty table. Input columns
+    named _copy or _mix_key are replaced, others may have any name. The rate table is broadcast up to BROADCAST_SOURCES sources; beyond that, rows are joined to it over SALTS salts.
     """
+    spark = docs.sparkSession
     rates = source_rates(docs, weights, default_weight, target_rows, source_col)
     n = rates.count()
     rates = rates.where("_used").select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
-    rows = docs.drop("_copy", "_mix_key")
-    ident = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    same = F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    kept = [c for c in docs.columns if c not in ("_copy", "_mix_key")]
+    rows = numbered_without_id(docs.select(*(F.col(f"`{c}`") for c in kept)), id_col, source_col)
+    ident = F.concat(F.lit(f"{seed}:"), F.col("_ident"))
+    same = F.col("_own").eqNullSafe(F.col("_source"))
     if n <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), same)
     else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        rates = rates.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-        rows = rows.join(rates, same & (F.col("_salt") == F.col("_s"))).drop("_salt", "_s")
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_ident"), F.lit(SALTS)))
+        rates = rates.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(rates, same & (F.col("_salt") == F.col("_s")))
 
     def drawn(part: Column) -> Column:
         uniform = (hex_number(F.md5(F.concat(ident, F.lit(":"), part.cast("string"))), 13).cast("double") + 0.5) / float(1 << 52)
@@ -74,5 +88,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + drawn(part))
     rows = rows.withColumn("_n", count).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     key = F.md5(F.concat(ident, F.lit("#"), F.col("_copy").cast("string")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("_copy", "_mix_key")]
-    return rows.select(*kept, "_copy", key.alias("_mix_key")).repartitionByRange("_mix_key").sortWithinPartitions("_mix_key")
+    rows = rows.select("_row", "_copy", key.alias("_mix_key"))
+    # keys are uniform, so equal ranges of their leading digits are equal parts without a sample of the rows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(hex_number(F.col("_mix_key"), 8) * parts / F.lit(1 << 32)).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions("_mix_key").select(*(F.col(f"_row.`{c}`") for c in kept), "_copy", "_mix_key")
