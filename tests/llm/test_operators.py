@@ -90,7 +90,7 @@ def test_chat(spark):
     assert out[1]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and out[1]["n_turns"] == 3 and out[1]["loss_chars"] == 2 * len(rows[1][3])
     assert out[2]["n_turns"] == 1 and out[None]["n_turns"] == 1
     log = [(1, "m0", 0, 0, "message", "user", "hi"), (1, "m1", 1, 1, "start", "assistant", None), (1, "m1", 1, 2, "delta", "", "Hel"), (1, "m1", 1, 3, "delta", "", "lo"), (1, "m2", 2, 4, "message", "user", "gone"), (1, "m1", 1, 5, "regenerate", "", None), (1, "m1", 1, 6, "delta", "", "Hey"), (1, "m0", 0, 7, "edit", "", "hi!"), (1, "m3", 2, 8, "message", "user", "bye"), (1, "m4", 3, 9, "message", "user", "x"), (1, "m4", 3, 10, "delete", "", None)]
-    folded = chat_format.fold_log(spark.createDataFrame(log, chat_format.LOG)).orderBy("turn").collect()
+    folded = chat_format.fold_log(spark.createDataFrame(log, chat_format.LOG))[0].orderBy("turn").collect()
     assert [(r["turn"], r["role"], r["text"]) for r in folded] == [(0, "user", "hi!"), (1, "assistant", "Hey"), (2, "user", "bye")]
 
 
