@@ -18,16 +18,29 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset and the driver is the only executor."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"file://{LOCAL_FALLBACK}"
         atexit.register(shutil.rmtree, LOCAL_FALLBACK, ignore_errors=True)
     return base.rstrip("/")
 
 
+#: Folders of this process's tables.
+RUN = f"textloom-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/{RUN}/{uuid.uuid4().hex}/{name}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete all tables and files that operators of this process have left in the shared folder. Results are read from them, so call it once results are written elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+    path.getFileSystem(conf).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str, **options: object) -> DataFrame:
