@@ -147,7 +147,10 @@ def candidates(splits: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 def entries(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``file, size, begin, entry``: the first record of each split that is reachable from the file's start."""
+    """``file, size, begin, entry``: the first record of each split that is reachable from the file's start.
+
+    Jumps grow with the number of records, and compress so well that Spark would think them small: they are joined by merging at every size.
+    """
     splits = stage_table(splits_of(spark, path, split_bytes), "splits")
     width = max(64, spark.sparkContext.defaultParallelism * 4)
     jump = stage_table(candidates(splits.repartition(width, "file", "begin"), split_bytes), "jumps")
@@ -155,11 +158,11 @@ def entries(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> D
     longest = splits.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     rounds = math.ceil(math.log2(longest)) if longest > 1 else 0
     for k in range(rounds):
-        more = reached.join(jump, ["file", "offset"]).select("file", F.col("exit").alias("offset"))
+        more = reached.join(jump.hint("merge"), ["file", "offset"]).select("file", F.col("exit").alias("offset"))
         reached = stage_table(reached.union(more).distinct(), "reached")
         if k + 1 < rounds:
             ahead = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("far"))
-            jump = stage_table(jump.join(ahead, ["file", "exit"]).select("file", "offset", F.col("far").alias("exit")), "jumps")
+            jump = stage_table(jump.join(ahead.hint("merge"), ["file", "exit"]).select("file", "offset", F.col("far").alias("exit")), "jumps")
     own = reached.withColumn("begin", (F.floor(F.col("offset") / split_bytes) * split_bytes).cast("long")).groupBy("file", "begin").agg(F.min("offset").alias("entry"))
     out = stage_table(own.join(splits, ["file", "begin"]).select("file", "size", "begin", "entry"), "entries")
     drop_table(splits)
@@ -204,7 +207,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) ->
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes the archives into the shared folder and returns what reading them gives."""
+    """Writes the archives into the shared folder and returns what reading them gives; an empty table gives an empty table, other cases are those of write_warc()."""
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, least_bytes)
     return read_warc(pages.sparkSession, path)
