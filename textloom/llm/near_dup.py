@@ -24,6 +24,8 @@ SUB, ROWS = 12, 3
 SLICE_BYTES = 2_000_000
 #: Ids of compared documents up to this count (8 bytes each) are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
+#: Tasks over which the shingles of a family meet its size.
+SALTS = 32
 #: Bytes that separate words.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -238,8 +240,11 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     families = components(chains)
     members = stage_table(apart.select("_id", "_c").distinct().join(families.select("_id", F.col("_component").alias("_g")), "_id"), "members")
     own = stage_table(member_sets(members, rows, k), "sets")
-    sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_z"))
-    most = own.select("_g", F.explode("_s").alias("_e")).groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k")).join(sizes, "_g").where("2 * _k > _z")
+    # the shingles of a large family meet its size over SALTS tasks
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_z")).withColumn("_salt", salts)
+    counted = own.select("_g", F.explode("_s").alias("_e")).groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k")).withColumn("_salt", F.pmod("_e", F.lit(SALTS)))
+    most = counted.join(sizes, ["_g", "_salt"]).where("2 * _k > _z")
     pivots = stage_table(most.groupBy("_g").agg(F.collect_list("_e").alias("_p")), "pivots")
 
     pivot = F.coalesce("_p", F.array().cast("array<long>"))
@@ -248,7 +253,9 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     unit = 2 * (100 + percent)
     sets = stage_table(sets.withColumn("_w", F.size("_d") * (100 + percent) - F.col("_n") * (100 - percent)), "differences")
     least = sets.groupBy("_g").agg(F.min("_w").alias("_least"), F.min_by("_id", F.struct("_w", "_r")).alias("_best"))
-    sets = sets.join(least, "_g").withColumn("_far", F.col("_w") + F.col("_least") > 0)
+    # written down, so that the join by family can be split where one is large
+    weighed, sets = sets, stage_table(sets.join(least, "_g").withColumn("_far", F.col("_w") + F.col("_least") > 0), "judged")
+    drop_table(weighed)
     far_least = sets.where("_far").groupBy("_g").agg(F.min("_w").alias("_far_least"))
     # families without sets beyond have all their links by now
     beyond = stage_table(sets.join(far_least, "_g"), "beyond")
@@ -276,7 +283,7 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     shared = F.size(F.array_intersect("_d", "_do"))
     found = pairs.join(side, "_r").join(other, "_ro").where(shared * unit >= F.col("_w") + F.col("_wo"))
     out = stage_table(certain.union(found.select(F.col("_id").alias("_x"), F.col("_ido").alias("_y"))).distinct(), "links")
-    for t in (members, own, pivots, beyond, posted, pairs):
+    for t in (members, own, pivots, sets, beyond, posted, pairs):
         drop_table(t)
     return out
 
@@ -325,9 +332,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of the smallest doc_id of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of the smallest doc_id of each component, with all their columns, whatever their names. Rows without an id, without words and an empty table stay as they are; rows of one id stay or go together."""
+    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select("doc_id").distinct().alias("gone")
+    return docs.alias("own").join(gone, F.col(f"own.`{id_col}`") == F.col("gone.doc_id"), "left_anti")
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
