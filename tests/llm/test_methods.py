@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, mixing, queries, toxicity
+from textloom.llm import chat_format, decontaminate, media_flac, mixing, queries, toxicity
 
 WORDS = [f"w{k}" for k in range(200)]
 
@@ -225,5 +226,120 @@ def test_blocks_of_the_query_set_give_what_one_block_gives(spark, monkeypatch, s
     assert any(r[3] and r[2] for r in one)
 
 
+class Writer:
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value: int, width: int) -> None:
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+    def rice(self, v: int, k: int) -> None:
+        u = 2 * v if v >= 0 else -2 * v - 1
+        self.bits += "0" * (u >> k) + "1"
+        self.put(u, k)
+
+    def bytes(self) -> bytes:
+        bits = self.bits + "0" * (-len(self.bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def foreign_stream(left: list[int], right: list[int], way: int) -> bytes:
+    """16-bit stereo in one frame without seek table: fixed order 1, the second of two partitions escape-coded, and a verbatim side channel with wasted bits where it can."""
+    w, n = Writer(), len(left)
+    for value, width in ((0x3FFE, 14), (0, 2), (7, 4), (0, 4), (way, 4), (4, 3), (0, 1), (0, 8), (n - 1, 16)):
+        w.put(value, width)
+    w.put(media_flac.crc8(w.bytes()), 8)
+    side = [a - b for a, b in zip(left, right, strict=True)]
+    first, second = {1: (left, right), 8: (left, side), 9: (side, right), 10: ([(a + b) >> 1 for a, b in zip(left, right, strict=True)], side)}[way]
+    for channel, values in enumerate((first, second)):
+        depth = 16 + (way in (8, 10) and channel == 1 or way == 9 and channel == 0)
+        if channel == 1:
+            shift = 2 if all(v % 4 == 0 for v in values) else 0
+            w.put(1 << 1 | bool(shift), 8)
+            if shift:
+                w.put(1, shift)
+            for v in values:
+                w.put(v >> shift, depth - shift)
+            continue
+        w.put((8 | 1) << 1, 8)
+        w.put(values[0], depth)
+        w.put(1, 2)
+        w.put(1, 4)
+        r = np.diff(values).tolist()
+        w.put(3, 5)
+        for v in r[: n // 2 - 1]:
+            w.rice(v, 3)
+        w.put(31, 5)
+        w.put(18, 5)
+        for v in r[n // 2 - 1 :]:
+            w.put(v, 18)
+    frame = w.bytes()
+    crc = int(media_flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0])
+    pcm = np.stack([left, right], 1).astype("<i2").tobytes()
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + ((44100 << 44) | (1 << 41) | (15 << 36) | n).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame + crc.to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("way", [1, 8, 9, 10])
+def test_streams_of_other_encoders(way):
+    rng = random.Random(way)
+    left, right = ([rng.randint(-9000, 9000) // 8 * 8 for _ in range(64)] for _ in range(2))
+    raw = foreign_stream(left, right, way)
+    samples, rate, bits = media_flac.decode_stream(raw)
+    assert samples.tolist() == [list(x) for x in zip(left, right, strict=True)] and (rate, bits) == (44100, 16)
+    for at in (len(raw) - 1, len(raw) - 40, 50):
+        with pytest.raises(ValueError):
+            media_flac.decode_stream(raw[:at] + bytes([raw[at] ^ 16]) + raw[at + 1 :])
+
+
+def test_own_streams_hold_their_payload_for_any_decoder():
+    rng = random.Random(6)
+    payloads = [media_flac.padded(" ".join(rng.choices(WORDS, k=n)).encode()) for n in (0, 1, 300, 900)] + [bytes(rng.choices(range(256), k=2112))]
+    for payload, raw in zip(payloads, media_flac.encode(payloads), strict=True):
+        samples, rate, bits = media_flac.decode_stream(raw)
+        assert media_flac.BYTE[samples[:, 0] & 255].tobytes() == payload and (rate, bits) == (media_flac.RATE_HZ, 8)
+    assert sorted(media_flac.SAMPLE.tolist()) == list(range(-128, 128)) and (media_flac.BYTE[media_flac.SAMPLE & 255] == np.arange(256)).all()
+
+
+def test_media_column_is_what_was_stored(spark):
+    rng = random.Random(7)
+    rows = [(1, " ".join(rng.choices(WORDS, k=12_000))), (2, None), (3, ""), (4, "é" * 700), (4, "é" * 700), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
+    streams = {r["doc_id"]: bytes(r["media"]) for r in media_flac.encode_column(docs).collect()}
+    table = media_flac.media_round_trip(docs)
+    out = table.collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = (dict(rows)[r["doc_id"]] or "").encode()
+        raw, samples = streams[r["doc_id"]], np.frombuffer(media_flac.padded(text), np.uint8).astype(int) - 128
+        assert (r["n_bytes"], r["media_bytes"], r["media_sha256"]) == (len(text), len(raw), hashlib.sha256(raw).hexdigest())
+        assert b"".join(r["pcm"]) == media_flac.padded(text) and list(r["sample_offsets"]) == list(range(0, len(samples), media_flac.PCM_BLOCK))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        assert r["feature"] == f"n={len(samples)};sum={samples.sum()};energy={(samples**2).sum()};crossings={crossings};step={max(abs(a - b) for a, b in zip(samples, samples[1:], strict=False))}"
+    parts = {r["doc_id"]: bytes(r["payload"]) for r in media_flac.read_samples(table, 20_000, 40_000).collect()}
+    assert parts[1] == rows[0][1].encode()[20_000:40_000] and parts[2] == b""
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    from textloom.llm import near_dup
+
+    text = " ".join(WORDS[:60])
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 5, 6), (None, text, 5, 6), (3, None, 5, 6)], "doc_id long, text string, _gone int, gone int")
+    out = near_dup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
+
+
+def test_tables_are_released(spark):
+    from pathlib import Path
+
+    from textloom.llm import common
+
+    table = common.stage_table(spark.range(5), "numbers")
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), common.RUN)
+    assert table.count() == 5 and folder.exists()
+    common.release_tables(spark)
+    assert not folder.exists()
+
+
 def test_query_names():
     assert len(queries.QUERIES) == 10 and set(queries.SQL) <= set(queries.QUERIES)

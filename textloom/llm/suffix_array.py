@@ -139,18 +139,28 @@ def named(t: np.ndarray, small: np.ndarray, order: np.ndarray, ends: np.ndarray)
 
 
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of names by their first depth symbols, by prefix doubling."""
-    rank, span, n = names.astype(np.int64), 1, len(names)
-    order = np.argsort(rank, kind="stable")
+    """The order of the suffixes of names by their first depth symbols, by prefix doubling; after the first round only groups of equal rank are sorted again."""
+    n = len(names)
+    order = np.argsort(names)
+    sorted_names = names[order]
+    first = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])
+    rank, span = np.empty(n, np.int64), 1
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     while span < depth:
-        key = rank * (n + 1)
-        key[: n - span] += rank[span:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if rank[order[-1]] == n - 1:
+        # places in order whose group has several members
+        alone = first & np.concatenate([first[1:], [True]])
+        at = np.flatnonzero(~alone)
+        if not len(at):
             break
+        own = order[at]
+        later = own + span
+        key = rank[own] * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        own, key = own[turn], key[turn]
+        order[at] = own
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        first[at] = fresh
+        rank[own] = np.maximum.accumulate(np.where(fresh, at, 0))
         span *= 2
     return order
 
@@ -177,21 +187,24 @@ def suffix_array(text: np.ndarray, depth: int, folder: str | None = None, memory
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that each suffix in order shares with the one before, depth at most; 0 for the first."""
-    data = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    wide = np.zeros(len(data) - 7, np.uint64)
-    for j in range(8):
-        wide = (wide << np.uint64(8)) | data[j : j + len(wide)]
+    data = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    words = np.ndarray(len(data) - 7, "<u8", data.data, 0, (1,))  # the eight bytes from each position on
     out = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
     room = np.minimum(len(text) - np.maximum(a, b), depth)
-    live, done = np.arange(len(a)), np.zeros(len(a), np.int64)
-    j = 0
+    live, done = np.arange(len(a)), room.copy()
+    x, y, j = a, b, 0
     while len(live):
-        differ = wide[a[live] + j] ^ wide[b[live] + j]
-        lead = np.where(differ == 0, 8, (64 - np.frexp(np.maximum(differ >> np.uint64(11), 0).astype(np.float64))[1] - 11) // 8)
-        lead = np.where((differ != 0) & (differ >> np.uint64(11) == 0), np.where(differ >> np.uint64(8) != 0, 6, 7), lead)
-        done[live] = np.minimum(j + lead, room[live])
-        live = live[(lead == 8) & (room[live] > j + 8)]
+        differ = words[x + j] ^ words[y + j]
+        same = differ == 0
+        if not same.all():
+            d = differ[~same]
+            shared = (np.frexp((d & (~d + np.uint64(1))).astype(np.float64))[1] - 1) // 8
+            gone = live[~same]
+            done[gone] = np.minimum(j + shared, room[gone])
         j += 8
+        live = live[same]
+        live = live[room[live] > j]
+        x, y = a[live], b[live]
     out[1:] = done
     return out

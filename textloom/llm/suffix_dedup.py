@@ -113,7 +113,7 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
 
 
 def cut_contexts(joined: DataFrame, length: int) -> DataFrame:
-    """joined(_id, _th, _text, _runs) -> ``_id, _th, _first, _h, _n, _c``: the bytes that n starts need."""
+    """joined(_id, _th, _text, _runs) -> ``_id, _th, _first, _h, _n, _hot, _c``: the bytes that n starts need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,9 +123,9 @@ def cut_contexts(joined: DataFrame, length: int) -> DataFrame:
                 first, n = (runs.field(c).to_numpy() for c in ("_first", "_n"))
                 contexts = [text[a : a + m + length - 1] for a, m in zip(first.tolist(), n.tolist(), strict=True)]
                 m = len(first)
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("_id")[k], m), pa.repeat(b.column("_th")[k], m), runs.field("_first"), runs.field("_h"), runs.field("_n"), pa.array(contexts, pa.binary())], names=["_id", "_th", "_first", "_h", "_n", "_c"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column("_id")[k], m), pa.repeat(b.column("_th")[k], m), runs.field("_first"), runs.field("_h"), runs.field("_n"), runs.field("_hot"), pa.array(contexts, pa.binary())], names=["_id", "_th", "_first", "_h", "_n", "_hot", "_c"])
 
-    return joined.mapInArrow(run, "_id long, _th long, _first long, _h long, _n int, _c binary")
+    return joined.mapInArrow(run, "_id long, _th long, _first long, _h long, _n int, _hot boolean, _c binary")
 
 
 def string_keys(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,11 +139,12 @@ def string_keys(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nd
 
 
 def finer_contexts(contexts: DataFrame, length: int, level: int) -> DataFrame:
-    """contexts(_id, _th, _first, _h, _n, _c) -> the same starts with finer keys, which equal strings of one key share, in contexts of their own."""
+    """contexts(_ph, _pk, _first, _h, _c, _w) -> the same starts with finer keys, which equal strings of one key share, in contexts of their own; _first stays an offset in the first context."""
+    schema = "_ph long, _pk binary, _first long, _h long, _c binary, _w long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, begin, old = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_th", "_first", "_h"))
+            begin, old = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_first", "_h"))
             for row, texts, _ in text_runs(b.column("_c").to_pylist()):
                 bounds = np.cumsum([0, *map(len, texts)])
                 raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -156,28 +157,33 @@ def finer_contexts(contexts: DataFrame, length: int, level: int) -> DataFrame:
                     part = slice(i, i + 20_000)
                     d, f, e = doc[part], first[part], last[part]
                     cut = pa.array([raw[x : y + length].tobytes() for x, y in zip(f.tolist(), e.tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array(hashes[row + d]), pa.array(begin[row + d] + f - bounds[d]), pa.array(keys[part].view(np.int64)), pa.array((e - f + 1).astype(np.int32)), cut], names=["_id", "_th", "_first", "_h", "_n", "_c"])
+                    own = pa.array(row + d)
+                    yield pa.RecordBatch.from_arrays([b.column("_ph").take(own), b.column("_pk").take(own), pa.array(begin[row + d] + f - bounds[d]), pa.array(keys[part].view(np.int64)), cut, b.column("_w").take(own)], names=["_ph", "_pk", "_first", "_h", "_c", "_w"])
 
-    return contexts.select("_id", "_th", "_first", "_h", "_n", "_c").mapInArrow(run, "_id long, _th long, _first long, _h long, _n int, _c binary").withColumn("_k", F.unhex(F.md5("_c")))
+    return contexts.select("_ph", "_pk", "_first", "_h", "_c", "_w").mapInArrow(run, schema).withColumn("_k", F.unhex(F.md5("_c")))
 
 
-def hot_keys(contexts: DataFrame, length: int) -> DataFrame | None:
+def hot_keys(contexts: DataFrame) -> DataFrame | None:
     """Keys with more than HOT_BYTES of distinct contexts; None if there are none."""
-    size = contexts.select("_h", "_k", "_n").distinct().groupBy("_h").agg(F.sum(F.col("_n") + (length - 1)).alias("_b"))
+    size = contexts.select("_h", "_k", F.length("_c").alias("_b")).distinct().groupBy("_h").agg(F.sum("_b").alias("_b"))
     hot = stage_table(size.where(F.col("_b") > HOT_BYTES).select("_h"), "hot")
     return None if hot.isEmpty() else hot
 
 
-def split_hot(contexts: DataFrame, candidates: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """contexts with no key of more than HOT_BYTES of distinct contexts, beside keys of one context; and the tables to drop after use. candidates(_h): the keys that may be hot."""
-    cool, part, made = [], contexts, []
-    hot = None if candidates.isEmpty() else hot_keys(contexts.join(candidates, "_h", "left_semi"), length)
-    level = 1
+def split_hot(distinct: DataFrame, length: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """distinct(_h, _c, _w, _k) -> the starts of keys with more than HOT_BYTES under finer keys: ``_ph, _pk`` (key and md5 of the context in distinct), ``_first, _h, _c, _w, _k``, in keys that
+    are within HOT_BYTES or have one context; None if no key is hot. And the tables to drop after use."""
+    cool, made = [], []
+    part = distinct.select(F.col("_h").alias("_ph"), F.col("_k").alias("_pk"), F.lit(0).cast("long").alias("_first"), "_h", "_c", "_w", "_k")
+    hot, level = hot_keys(part), 1
+    if hot is None:
+        return None, made
     while hot is not None:
-        cool.append(part.join(hot, "_h", "left_anti").select(*contexts.columns))
+        if level > 1:
+            cool.append(part.join(hot, "_h", "left_anti").select(*part.columns))
         part = stage_table(finer_contexts(part.join(hot, "_h", "left_semi"), length, level), f"finer{level}")
         made += [hot, part]
-        hot = hot_keys(part, length) if level < FINER_ROUNDS else None
+        hot = hot_keys(part) if level < FINER_ROUNDS else None
         level += 1
     for c in cool:
         part = part.unionByName(c)
@@ -203,12 +209,13 @@ def repeated_starts(contexts: list[bytes], weights: np.ndarray, groups: np.ndarr
     marked = np.zeros(len(text) + 1, bool)
     marked[order[again]] = True
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    lead = np.concatenate([[False], marked[:-1]])
-    lead[begin] = False  # a run ends with its context
-    for a in np.flatnonzero(marked & ~lead):
-        d = owner[a]
-        off = np.flatnonzero(~marked[a : begin[d] + sizes[d]])
-        out[d].append((int(a - begin[d]), int(off[0] + a - begin[d]) if len(off) else int(sizes[d])))
+    edge = np.zeros(len(text) + 1, bool)
+    edge[begin] = True  # a run ends with its context
+    first = np.flatnonzero(marked[:-1] & (edge[:-1] | ~np.concatenate([[False], marked[:-2]])))
+    last = np.flatnonzero(marked[:-1] & (edge[1:] | ~marked[1:])) + 1
+    own = owner[first]
+    for d, x, y in zip(own.tolist(), (first - begin[own]).tolist(), (last - begin[own]).tolist(), strict=True):
+        out[d].append((x, y))
     return out
 
 
@@ -249,24 +256,38 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
     """rows(_id, _th, _text) -> ``_id, _th, _runs``: runs (begin, end) of the starts, in bytes, of repeated strings of a text; texts without are left out."""
     spark = rows.sparkSession
     found = stage_table(find_anchors(rows, length), "anchors")
-    twice = stage_table(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_w"), F.sum(F.col("_n") + (length - 1)).alias("_b")).where("_w > 1").select("_h", (F.col("_b") > HOT_BYTES).alias("_hot")), "twice")
-    candidates = stage_table(twice.where("_hot").select("_h"), "candidates")
-    runs = found.join(twice.select("_h"), "_h").groupBy("_id", "_th").agg(F.collect_set(F.struct("_first", "_n", "_h")).alias("_runs"))
+    twice = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_w"), F.sum(F.col("_n") + (length - 1)).alias("_b")).where("_w > 1")
+    twice = stage_table(twice.select("_h", (F.col("_b") > HOT_BYTES).alias("_hot")), "twice")
+    runs = found.join(twice, "_h").groupBy("_id", "_th").agg(F.collect_set(F.struct("_first", "_n", "_h", "_hot")).alias("_runs"))
     runs = stage_table(runs, "runs")
     drop_table(found)
     drop_table(twice)
     release_shuffles(spark)
     contexts = stage_table(cut_contexts(rows.join(runs, ["_id", "_th"]).select("_id", "_th", "_text", "_runs"), length).withColumn("_k", F.unhex(F.md5("_c"))), "contexts")
     release_shuffles(spark)
-    dealt, made = split_hot(contexts, candidates, length)
+    made = [runs, contexts]
+    weighed = lambda some: some.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_w"))
+    folder = spill_folder(spark)
+    # copies of a context are one row from here on; keys that may be hot are looked at apart
+    maybe = stage_table(weighed(contexts.where("_hot")).withColumn("_k", F.unhex(F.md5("_c"))), "maybe")
+    finer, more = split_hot(maybe, length)
+    cool = maybe if finer is None else maybe.join(more[0], "_h", "left_anti")
     release_shuffles(spark)
-    distinct = dealt.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_w"))
-    marked = stage_table(sort_shards(distinct, length, spill_folder(spark)), "marked")
+    marked = stage_table(sort_shards(weighed(contexts.where("NOT _hot")).unionByName(cool.select("_h", "_c", "_w")), length, folder), "marked")
+    made += [maybe, *more, marked]
     release_shuffles(spark)
-    back = dealt.select("_id", "_th", "_first", "_h", "_k").join(marked, ["_h", "_k"])
+    if finer is not None:
+        again = stage_table(sort_shards(finer.groupBy("_h", "_c").agg(F.sum("_w").alias("_w")), length, folder), "again")
+        runs_at = F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_first")).cast("int").alias("a"), (r["b"] + F.col("_first")).cast("int").alias("b")))
+        parents = finer.select("_ph", "_pk", "_first", "_h", "_k").join(again, ["_h", "_k"]).select("_ph", "_pk", F.inline(runs_at))
+        parents = stage_table(parents.groupBy(F.col("_ph").alias("_h"), F.col("_pk").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("_runs")), "parents")
+        made += [again, parents]
+        marked = marked.unionByName(parents)
+        release_shuffles(spark)
+    back = contexts.select("_id", "_th", "_first", "_h", "_k").join(marked, ["_h", "_k"])
     spans = F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_first")).alias("a"), (r["b"] + F.col("_first")).alias("b")))
     out = stage_table(back.select("_id", "_th", F.inline(spans)).groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("_runs")), "repeats")
-    for t in (runs, candidates, contexts, marked, *made):
+    for t in made:
         drop_table(t)
     release_shuffles(spark)
     return out
@@ -316,4 +337,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
 
 def repeat_digests(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The digests of remove_repeats(), with its rules for nulls, empty and repeated rows and empty tables."""
     return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
