@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     build.add_argument("pages")
     build.add_argument("dump")
     build.add_argument("-z", "--packed", action="store_true")
-    build.add_argument("--limit", type=int, default=1_000_000)
+    build.add_argument("--limit", type=int, default=0, help="documents to index; all of them if 0")
     ask = commands.add_parser("search")
     ask.add_argument("dump")
     ask.add_argument("query", nargs="*", help="read from stdin if there is none")

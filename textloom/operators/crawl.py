@@ -32,7 +32,7 @@ def fold_scrapes(scrapes: DataFrame) -> DataFrame:
 def merge_state(state: DataFrame, scrapes: DataFrame) -> DataFrame:
     """State after more scrapes, all of them later than the state's own."""
     new = fold_scrapes(scrapes)
-    first = scrapes.groupBy("normalized_url").agg(F.min_by(content_hash(F.col("html_content")), "ts").alias("_first_hash"), F.countDistinct(content_hash(F.col("html_content"))).alias("_kinds"))
+    first = scrapes.groupBy("normalized_url").agg(F.min_by(content_hash(F.col("html_content")), F.struct("ts", content_hash(F.col("html_content")).alias("h"))).alias("_first_hash"), F.countDistinct(content_hash(F.col("html_content"))).alias("_kinds"))
     both = new.join(first, "normalized_url").alias("n").join(state.alias("o"), "normalized_url", "full")
     old, fresh = F.col("o.content_hash").isNotNull(), F.col("n.content_hash").isNotNull()
     same = (F.col("_first_hash") == F.col("o.content_hash")) & (F.col("_kinds") == 1)
@@ -59,16 +59,58 @@ def document_exists(keys: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def extract_articles(pages: DataFrame, sites: Sequence[urls.Site] = urls.SITES, least_bytes: int = 200) -> DataFrame:
-    """Pages of type article with more than least_bytes of clean text, as scrapes without ts."""
+    """Pages of type article with more than least_bytes of clean text, as scrapes; ``ts`` is carried along where pages have it."""
     rows = pages.where(urls.page_type(F.col("url"), sites) == urls.ARTICLE).withColumn("html_content", article_html(F.col("html")))
     rows = rows.withColumn("text", article_text(F.col("html_content"))).where(F.octet_length("text") > least_bytes)
-    return rows.select(urls.normalize_url(F.col("url")).alias("normalized_url"), "url", urls.site_label(F.col("url"), sites).alias("source"), page_title(F.col("html")).alias("title"), "html_content", "text")
+    when = ["ts"] if "ts" in pages.columns else []
+    return rows.select(urls.normalize_url(F.col("url")).alias("normalized_url"), "url", urls.site_label(F.col("url"), sites).alias("source"), *when, page_title(F.col("html")).alias("title"), "html_content", "text")
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(url, link): distinct canonical links that aren't skipped."""
-    found = pages.select("url", F.explode(urls.extract_links(F.col("html"), F.col("url"))).alias("link"))
-    return found.where(~urls.should_skip(F.col("link"))).select("url", urls.canonical_url(F.col("link")).alias("link")).distinct()
+#: Answers that a crawl passes over without a word, beside those that robots.txt forbids.
+SILENT_STATUS = (429,)
+
+
+def scrape_outcome(pages: DataFrame, sites: Sequence[urls.Site] = urls.SITES, least_bytes: int = 200) -> DataFrame:
+    """Adds ``outcome`` to pages(url, html, status, error): saved, blocked, throttled, failed, unknown_type, not_an_article or too_short. All but saved are the dead letters; nothing is tried again."""
+    kind = urls.page_type(F.col("url"), sites)
+    long_enough = F.coalesce(F.octet_length(article_text(article_html(F.col("html")))) > least_bytes, F.lit(False))
+    failed = F.col("error").isNotNull() | F.col("html").isNull() | ~F.coalesce(F.col("status"), F.lit(200)).between(200, 299)
+    return pages.withColumn(
+        "outcome",
+        F.when(F.lower("error").contains("robots"), "blocked").when(F.col("status").isin(*SILENT_STATUS), "throttled").when(failed, "failed")
+        .when(kind == urls.UNKNOWN, "unknown_type").when(kind != urls.ARTICLE, "not_an_article").when(~long_enough, "too_short").otherwise("saved"),
+    )
+
+
+def crawl_counters(outcomes: DataFrame) -> DataFrame:
+    """(outcome, pages): what a run reports at its end."""
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def recrawl(state: DataFrame, fetched: DataFrame, now: int, hours: int, batch: int | None = None, sites: Sequence[urls.Site] = urls.SITES, least_bytes: int = 200) -> DataFrame:
+    """The state after one pass over what is stale at now: every stale key at most once, batch keys if given, so that pages which fail or are too short can't keep it going.
+
+    fetched(url, html): what the keys hold now. Links aren't expanded.
+    """
+    stale = state.where(F.col("last_scraped") < now - hours * 3600).select("normalized_url")
+    if batch is not None:
+        stale = stale_documents(state, now, hours, batch).select("normalized_url")
+    rows = extract_articles(fetched, sites, least_bytes).join(stale, "normalized_url", "left_semi").dropDuplicates(["normalized_url"])
+    return merge_state(state, rows.select("normalized_url", F.lit(now).cast("long").alias("ts"), "title", "html_content"))
+
+
+def page_links(pages: DataFrame, sites: Sequence[urls.Site] | None = None) -> DataFrame:
+    """(url, link): distinct canonical links that aren't skipped; with sites only those in a page's region that lead to a known type of page."""
+    html = F.col("html") if sites is None else urls.link_region(F.col("html"), F.col("url"), sites)
+    found = pages.select("url", F.explode(urls.extract_links(html, F.col("url"))).alias("link"))
+    found = found.where(~urls.should_skip(F.col("link"))).select("url", urls.canonical_url(F.col("link")).alias("link")).distinct()
+    return found if sites is None else found.where(urls.page_type(F.col("link"), sites) != urls.UNKNOWN)
+
+
+def within_cap(requests: DataFrame, saved: int, max_pages: int) -> DataFrame:
+    """requests(url, depth, is_recrawl): recrawls, and as many others as pages are still allowed, the nearest first."""
+    fresh = requests.where("NOT is_recrawl").orderBy("depth", "url").limit(max(0, max_pages - saved))
+    return requests.where("is_recrawl").unionByName(fresh)
 
 
 def expand(frontier: DataFrame, links: DataFrame, visited: DataFrame, max_depth: int) -> DataFrame:
@@ -80,12 +122,16 @@ def expand(frontier: DataFrame, links: DataFrame, visited: DataFrame, max_depth:
     return new.join(visited, "url", "left_anti")
 
 
-def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int | None = None, checkpoint_every: int = 5) -> DataFrame:
-    """(url, depth) reached from seeds(url) over pages, breadth first; rounds are depth, and lineage is cut by checkpoint() where a checkpoint folder is set."""
+def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int | None = None, checkpoint_every: int = 5, sites: Sequence[urls.Site] | None = None, mark_seeds: bool = True) -> DataFrame:
+    """(url, depth) reached from seeds(url) over pages, breadth first; rounds are depth, and lineage is cut by checkpoint() where a checkpoint folder is set.
+
+    With sites only links of a page's region to known types of pages count. Without mark_seeds a seed that is linked to is reached again, a row of its own.
+    """
     spark = pages.sparkSession
-    links = page_links(pages).persist()
+    links = page_links(pages, sites).persist()
     frontier = seeds.select("url", F.lit(0).alias("depth"))
-    visited = frontier
+    first = frontier
+    visited = frontier if mark_seeds else frontier.where(F.lit(False))
     for hop in range(max_depth):
         frontier = expand(frontier, links, visited.select("url"), max_depth).persist()
         if frontier.isEmpty():
@@ -93,4 +139,5 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages:
         visited = visited.unionByName(frontier)
         if (hop + 1) % checkpoint_every == 0 and spark.sparkContext.getCheckpointDir():
             visited = visited.checkpoint()
+    visited = visited if mark_seeds else first.unionByName(visited)
     return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import query_plan as plan
-from .index import SearchIndex
+from .index import CustomStemmer, SearchIndex
 
 
 def intersect_lists(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -26,40 +27,41 @@ def not_list(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stem(index: SearchIndex) -> plan.Stemmer:
+    if isinstance(index.stemmer, CustomStemmer):
+        return index.stemmer.word
     return plan.plain if index.stemmer == "none" else plan.porter()
 
 
-def matching(index: SearchIndex, query: str) -> tuple[DataFrame, list[str]]:
-    """(doc_id, url) of the documents that a query selects, and its terms. One scan of the terms' postings, one shuffle, no self-join."""
-    parts = plan.infix(query, _stem(index))
-    terms = plan.terms_of(parts)
-    distinct = list(dict.fromkeys(terms))
+def evaluated(index: SearchIndex, query: str, weights: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, url, _s) of the documents that a query selects; _s is the sum of the weights of its postings, null where there are none.
+
+    One scan of the terms' postings, one shuffle, no self-join. Documents without any of the terms are looked at only by queries that select such.
+    """
+    rpn = plan.postfix(plan.infix(query, _stem(index)))
+    distinct = list(dict.fromkeys(plan.terms_of(rpn)))
     flag = {t: f"_t{k}" for k, t in enumerate(distinct)}
-    found = plan.condition(plan.postfix(parts), lambda t: F.col(flag[t]))
+    found = plan.condition(rpn, lambda t: F.col(flag[t]))
     if found is None:
-        return index.docs.select("doc_id", "url").where(F.lit(False)), terms
-    own = index.postings.where(F.col("term").isin(distinct)).groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(flag[t]) for t in distinct))
-    return index.docs.join(own, "doc_id", "left").where(found).select("doc_id", "url"), terms
+        return index.docs.select("doc_id", "url", F.lit(None).cast("double").alias("_s")).where(F.lit(False))
+    score = F.lit(None).cast("double") if not weights else F.sum(plan.choose(F.col("term"), weights))
+    own = index.postings.where(F.col("term").isin(distinct)).groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(flag[t]) for t in distinct), score.alias("_s"))
+    if plan.holds_without_terms(rpn):
+        return index.docs.join(own, "doc_id", "left").where(found).select("doc_id", "url", "_s")
+    return index.docs.join(own.where(found), "doc_id").select("doc_id", "url", "_s")
 
 
 def boolean_search(index: SearchIndex, query: str) -> DataFrame:
     """(doc_id, url, score 0) by doc_id; documents without a url are left out."""
-    return matching(index, query)[0].where("url <> ''").withColumn("score", F.lit(0.0)).orderBy("doc_id")
+    return evaluated(index, query).where("url <> ''").select("doc_id", "url", F.lit(0.0).alias("score")).orderBy("doc_id")
 
 
 def tfidf_search(index: SearchIndex, query: str) -> DataFrame:
-    """(doc_id, url, score): every occurrence of a term in the query adds (1 + ln tf) * ln(N / (1 + df)); unordered."""
-    found, terms = matching(index, query)
-    times = Counter(terms)
-    if not times:
-        return found.withColumn("score", F.lit(0.0))
-    own = index.postings.where(F.col("term").isin(list(times)))
-    weights = F.lit(0)
-    for t, n in times.items():
-        weights = F.when(F.col("term") == t, F.lit(n)).otherwise(weights)
-    idf = own.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_idf", weights * F.log(F.lit(float(index.total())) / (1 + F.col("_df"))))
-    scored = own.join(F.broadcast(idf), "term").groupBy("doc_id").agg(F.sum((1 + F.log("tf")) * F.col("_idf")).alias("_s"))
-    return found.join(scored, "doc_id", "left").select("doc_id", "url", F.round(F.coalesce("_s", F.lit(0.0)), 6).alias("score"))
+    """(doc_id, url, score): every occurrence of a term in the query adds (1 + ln tf) * ln(N / (1 + df)); unordered. df of the query's terms comes from the directory."""
+    times = Counter(plan.terms_of(plan.infix(query, _stem(index))))
+    known = {r["term"]: r["df"] for r in index.lookup(list(times)).select("term", "df").collect()} if times else {}
+    n = index.total() if known else 0
+    weights = {t: F.lit(times[t] * math.log(n / (1 + df))) * (1 + F.log("tf")) for t, df in known.items()}
+    return evaluated(index, query, weights).select("doc_id", "url", F.round(F.coalesce("_s", F.lit(0.0)), 6).alias("score"))
 
 
 def top(results: DataFrame, k: int = 10) -> DataFrame:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_to_text, kept_tokens, raw_tokens
+from ..functions.text import html_to_text, raw_tokens
+from .index import spread
+
+
+#: First characters of a token that tell its block; as ordering goes by characters, blocks are in the order of their tokens.
+BLOCK_CHARS = 3
 
 
 def token_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, frequency) over unstemmed tokens."""
-    return docs.select(F.explode(kept_tokens(raw_tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
+    raw = spread(docs.select(text)).select(F.explode(raw_tokens(F.col(text))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return raw.select(F.regexp_replace("t", "'+$", "").alias("token"), "n").where("token <> ''").groupBy("token").agg(F.sum("n").alias("frequency"))
 
 
 def vocabulary_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,11 +32,17 @@ def zipf(frequency: DataFrame, limit: int | None = None) -> DataFrame:
     """
     if limit is not None:
         frequency = frequency.orderBy(F.desc("frequency"), "token").limit(limit)
-    levels = frequency.groupBy("frequency").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.select("frequency", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"), F.max("frequency").over(Window.partitionBy()).alias("_top"))
-    own = Window.partitionBy("frequency").orderBy("token")
-    ranked = frequency.join(levels, "frequency").withColumn("rank", F.col("_above") + F.row_number().over(own))
+    # tokens of one frequency are cut into blocks by their first characters, so that no task orders all of the rare ones
+    frequency = frequency.withColumn("_block", F.substring("token", 1, BLOCK_CHARS))
+    blocks = frequency.groupBy("frequency", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy("frequency").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("frequency", "_block", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_inside"), "_n")
+    levels = blocks.groupBy("frequency").agg(F.sum("_n").alias("_n"))
+    higher = Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("frequency", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"), F.max("frequency").over(Window.partitionBy()).alias("_top"))
+    starts = blocks.join(levels, "frequency").select("frequency", "_block", (F.col("_above") + F.col("_inside")).alias("_before"), "_top")
+    own = Window.partitionBy("frequency", "_block").orderBy("token")
+    ranked = frequency.withColumn("_row", F.row_number().over(own)).join(starts, ["frequency", "_block"]).withColumn("rank", F.col("_before") + F.col("_row"))
     return ranked.select("rank", "token", "frequency", F.round(F.col("_top") / F.col("rank"), 6).alias("expected"))
 
 

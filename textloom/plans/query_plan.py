@@ -89,3 +89,28 @@ def condition(rpn: Sequence[str], holds: Callable[[str], Column]) -> Column | No
         else:
             stack.append(F.coalesce(holds(p), F.lit(False)))
     return stack[-1] if stack else None
+
+
+def holds_without_terms(rpn: Sequence[str]) -> bool:
+    """Whether a document that has none of the terms is selected."""
+    stack: list[bool] = []
+    for p in rpn:
+        if p == "!":
+            if stack:
+                stack.append(not stack.pop())
+        elif p in OPERATORS:
+            if len(stack) >= 2:
+                b, a = stack.pop(), stack.pop()
+                if p != "(":
+                    stack.append(a and b if p == "&" else a or b)
+        else:
+            stack.append(False)
+    return bool(stack and stack[-1])
+
+
+def choose(key: Column, values: dict[str, Column]) -> Column:
+    """The value of a key, null for others."""
+    out = F.lit(None).cast("double")
+    for k, v in values.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out

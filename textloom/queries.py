@@ -13,6 +13,7 @@ from .functions.stemmer import DUCKDB, stem_sql
 from .operators import crawl, index, search, stats
 from .plans import query_plan as plan
 from .sources import store
+from .storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,28 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("url"), "text")
 
 
+#: Folders of the indexes that this process has saved, by application, table, its state and kind of index.
+STORED: dict[tuple, str] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> int:
+    """The latest time of change under a path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max([fs.getFileStatus(root).getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(root))])
+
+
+def stored_index(spark: SparkSession, sf: str, pruned: bool = False, packed: bool = False) -> index.SearchIndex:
+    """The saved index of documents, loaded. It is built when an application first asks for it, and again once the table has changed: searches read it, not the texts."""
+    path = f"{sf}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, table_state(spark, path), pruned, packed)
+    if key not in STORED:
+        folder = scratch(spark, "index")
+        store.save_index(index.build_index(documents(spark, sf)), folder, packed=packed, pruned=pruned)
+        STORED[key] = folder
+    return store.load_index(spark, STORED[key])
+
+
 # SQL building blocks
 TOKENS = f"list_filter(list_transform(list_transform(regexp_extract_all(text, $r${X.TOKEN}$r$), lambda t: lower(t)), lambda t: rtrim(t, '''')), lambda t: t <> '')"
 CTE = f"WITH tok AS (SELECT doc_id, {TOKENS} AS ts FROM documents), occ AS (SELECT doc_id, unnest(ts) AS term FROM tok), post AS (SELECT term, doc_id, count(*) AS tf FROM occ GROUP BY ALL)"
@@ -170,6 +193,31 @@ def posting_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return index.with_gaps(index.build_index(documents(spark, sf)).postings)
 
 
+@query(f"{CTE}, {KEPT} SELECT post.term, doc_id, tf FROM post SEMI JOIN kept ON post.term = kept.term")
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_index(spark, sf, pruned=True).postings
+
+
+@query(f"{CTE}, {KEPT} SELECT post.term, doc_id, tf FROM post SEMI JOIN kept ON post.term = kept.term")
+def packed_index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_index(spark, sf, pruned=True, packed=True).postings
+
+
+LOOKED_UP = ("the", "of", "que", "les", "zzzzzz", "1")
+
+
+@query(f"{CTE} SELECT term, list_reduce(list_transform(string_split(term, ''), lambda c: ascii(c)::BIGINT), lambda h, b: (xor(h, b) * 16777619) % 4294967296, 2166136261::BIGINT) AS term_hash, count(*) AS df FROM post WHERE term IN {LOOKED_UP} GROUP BY term")
+def directory_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_index(spark, sf).lookup(LOOKED_UP)
+
+
+@query(f"{CTE} SELECT term AS token, count(*) AS frequency FROM occ GROUP BY term")
+def frequency_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "frequency")
+    store.write_frequency_csv(stats.token_frequency(documents(spark, sf)), path)
+    return store.read_frequency_csv(spark, path)
+
+
 VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
 
 
@@ -183,7 +231,7 @@ def index_size_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{CTE} SELECT term, doc_id, tf FROM post WHERE term = 'the'")
 def term_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return index.build_index(documents(spark, sf)).get_postings("the").select(F.lit("the").alias("term"), "doc_id", "tf")
+    return stored_index(spark, sf).get_postings("the").select(F.lit("the").alias("term"), "doc_id", "tf")
 
 
 def sql_condition(text: str) -> str:
@@ -203,9 +251,18 @@ def sql_condition(text: str) -> str:
     return stack[-1] if stack else "false"
 
 
+@query(
+    f"{CTE}, g AS (SELECT term, doc_id // {index.PACKED_ROWS} AS block, doc_id, tf, doc_id - lag(doc_id, 1, doc_id) OVER (PARTITION BY term, doc_id // {index.PACKED_ROWS} ORDER BY doc_id) AS gap FROM post) "
+    f"SELECT term, min(doc_id) AS first, count(*)::INTEGER AS n, sum({VARINT.format('gap')})::INTEGER AS gap_bytes, sum({VARINT.format('tf')})::INTEGER AS tf_bytes FROM g GROUP BY term, block"
+)
+def packed_postings(spark: SparkSession, sf: str) -> DataFrame:
+    packed = index.pack_postings(index.build_index(documents(spark, sf)).postings)
+    return packed.select("term", "first", "n", F.octet_length("gaps").alias("gap_bytes"), F.octet_length("tfs").alias("tf_bytes"))
+
+
 def register_search(name: str, text: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return search.boolean_search(index.build_index(documents(spark, sf)), text)
+        return search.boolean_search(stored_index(spark, sf), text)
 
     QUERIES[name] = run
     SQL[name] = f"{CTE} SELECT doc_id, 'doc-' || doc_id AS url, 0.0::DOUBLE AS score FROM tok WHERE {sql_condition(text)}"
@@ -232,7 +289,7 @@ def tfidf_sql(text: str, post: str = "post", extra: str = "") -> str:
 
 def register_tfidf(name: str, text: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return search.search(index.build_index(documents(spark, sf)), text)
+        return search.search(stored_index(spark, sf), text)
 
     QUERIES[name] = run
     SQL[name] = tfidf_sql(text)
@@ -244,24 +301,24 @@ for _name, _text in {"tfidf_top10": "the & on", "tfidf_with_not": "que !les", "t
 
 @query(tfidf_sql("that | les", "pruned", f", {KEPT}, pruned AS (SELECT post.* FROM post SEMI JOIN kept ON post.term = kept.term)").replace("WHERE (list_contains(ts, 'that') OR list_contains(ts, 'les'))", "WHERE doc_id IN (SELECT doc_id FROM pruned WHERE term IN ('that', 'les'))"))
 def tfidf_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(index.prune(index.build_index(documents(spark, sf))), "that | les")
+    return search.search(stored_index(spark, sf, pruned=True), "that | les")
 
 
 @query(f"{CTE} SELECT doc_id, tf FROM post WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM post WHERE term = 'of')")
 def set_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    built = index.build_index(documents(spark, sf))
+    built = stored_index(spark, sf)
     return search.intersect_lists(built.get_postings("the"), built.get_postings("of"))
 
 
 @query(f"{CTE} SELECT doc_id, coalesce(max(tf) FILTER (WHERE term = 'the'), max(tf)) AS tf FROM post WHERE term IN ('the', 'que') GROUP BY doc_id")
 def set_union(spark: SparkSession, sf: str) -> DataFrame:
-    built = index.build_index(documents(spark, sf))
+    built = stored_index(spark, sf)
     return search.union_lists(built.get_postings("the"), built.get_postings("que"))
 
 
 @query(f"{CTE} SELECT doc_id, 0::BIGINT AS tf FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'the')")
 def set_complement(spark: SparkSession, sf: str) -> DataFrame:
-    built = index.build_index(documents(spark, sf))
+    built = stored_index(spark, sf)
     return search.not_list(built.get_postings("the"), built.docs)
 
 
@@ -313,9 +370,12 @@ def should_follow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REGION = r"array_to_string(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), ' ')"
+MEMBERS = """array_to_string(regexp_extract_all(html, '(?is)<div[^>]*id="mw-(?:pages|subcategories)"[^>]*>(.*?)</div>', 1), ' ')"""
+MAIN = r"array_to_string(regexp_extract_all(html, '(?is)<main(?:\s[^>]*)?>(.*?)</main>', 1), ' ')"
+FOLLOWED = f"CASE WHEN contains(url, 'example.org') THEN CASE WHEN {WIKI} = 'category' THEN {MEMBERS} ELSE '' END WHEN contains(url, 'example.com') THEN CASE WHEN {NEWS} = 'category' THEN {MAIN} ELSE {REGION} END ELSE '' END"
 
 
-@query(f"SELECT page_id, md5(CASE WHEN contains(url, 'example.com') AND {NEWS} <> 'category' THEN {REGION} ELSE '' END) AS region_md5 FROM pages WHERE NOT contains(url, 'example.org') AND NOT (contains(url, 'example.com') AND {NEWS} = 'category')")
+@query(f"SELECT page_id, md5({FOLLOWED}) AS region_md5 FROM pages")
 def link_regions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(U.link_region(F.col("html"), F.col("url"), FIXTURE_SITES)).alias("region_md5"))
 
@@ -381,6 +441,19 @@ def visited_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.discover(pages, pages.where("page_id = 0").select("url"), max_depth=2)
 
 
+SITE_LINKS = f"parts AS (SELECT page_id, url, {FOLLOWED} AS html FROM pages), {LINKS.replace('FROM pages', 'FROM parts')}"
+SITE_TYPE = f"CASE WHEN contains(url, 'example.org') THEN {WIKI} WHEN contains(url, 'example.com') THEN {NEWS} ELSE 'unknown' END"
+
+
+@query(
+    f"WITH {SITE_LINKS}, named AS (SELECT DISTINCT url AS src, regexp_replace(link, '[?#].*$', '') AS url FROM whole WHERE NOT {SKIPS}), edges AS (SELECT src, url FROM named WHERE {SITE_TYPE} <> 'unknown'), d0 AS (SELECT url, 0 AS depth FROM pages WHERE page_id % 10 = 0), "
+    "d1 AS (SELECT DISTINCT e.url, 1 AS depth FROM edges e JOIN d0 ON d0.url = src), d2 AS (SELECT DISTINCT e.url, 2 AS depth FROM edges e JOIN d1 ON d1.url = src WHERE e.url NOT IN (SELECT url FROM d1)) SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2"
+)
+def discover_sites(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return crawl.discover(pages, pages.where("page_id % 10 = 0").select("url"), max_depth=2, sites=FIXTURE_SITES, mark_seeds=False)
+
+
 @query("SELECT 'https://example.com/sport?page=' || i AS url FROM range(100) r(i) UNION ALL VALUES ('https://example.com/sport'), ('https://example.org/wiki/Category:Sports')")
 def seed_urls(spark: SparkSession, sf: str) -> DataFrame:
     return store.seed_urls(spark, "https://example.com/sport", 100, "https://example.org/wiki/Category:Sports")

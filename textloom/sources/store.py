@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a
-from ..operators.index import SearchIndex, kept_terms
+from ..operators.index import STEMMERS, CustomStemmer, SearchIndex, document_frequency, kept_terms, pack_postings, unpack_postings
 
 #: Fixed values of the format: its name and version without and with compression.
 MAGIC, RAW, PACKED = 0xABC1234, 1, 2
@@ -18,27 +18,42 @@ def read_corpus(spark: SparkSession, path: str, columns: tuple[str, ...] = ("url
     return rows.limit(max_documents) if max_documents > 0 else rows
 
 
-def save_index(index: SearchIndex, path: str, packed: bool = False, max_df_ratio: float | None = 0.95) -> None:
-    """Pruned postings sorted by term, so that row-group statistics find a term's rows; the directory sorted by hash; docs; meta."""
+#: Row groups of postings and the directory, so that a term's rows are found among few others.
+ROW_GROUP_BYTES = 1 << 20
+
+
+def save_index(index: SearchIndex, path: str, packed: bool = False, max_df_ratio: float | None = 0.95, pruned: bool = True) -> None:
+    """Postings sorted by term, so that row-group and page statistics find a term's rows; the directory sorted by hash; docs; meta. pruned: leave out what kept_terms() leaves out.
+
+    packed: postings as rows of varint bytes (pack_postings), compressed. A custom stemmer is saved by its name.
+    """
     n = index.total()
-    kept = kept_terms(index.postings, n, max_df_ratio)
+    kept, postings = document_frequency(index.postings), index.postings
+    if pruned:
+        kept = kept_terms(index.postings, n, max_df_ratio)
+        postings = index.postings.join(kept.select("term"), "term", "left_semi")
     codec = "zstd" if packed else "uncompressed"
-    postings = index.postings.join(kept.select("term"), "term", "left_semi")
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("compression", codec).parquet(f"{path}/postings")
+    rows, order = (pack_postings(postings), ("term", "first")) if packed else (postings, ("term", "doc_id"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/postings")
     directory = kept.withColumn("term_hash", fnv1a(F.col("term"))).repartitionByRange("term_hash", "term").sortWithinPartitions("term_hash", "term")
-    directory.write.option("compression", codec).parquet(f"{path}/terms")
+    directory.select("term", "term_hash", "df").write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/terms")
     index.docs.write.option("compression", codec).parquet(f"{path}/docs")
     spark = index.docs.sparkSession
     n_terms = spark.read.parquet(f"{path}/terms").count()
-    spark.createDataFrame([(MAGIC, PACKED if packed else RAW, n, n_terms, index.stemmer)], "magic long, version int, num_docs long, num_terms long, stemmer string").coalesce(1).write.parquet(f"{path}/meta")
+    name = index.stemmer if isinstance(index.stemmer, str) else index.stemmer.name
+    spark.createDataFrame([(MAGIC, PACKED if packed else RAW, n, n_terms, name)], "magic long, version int, num_docs long, num_terms long, stemmer string").coalesce(1).write.parquet(f"{path}/meta")
 
 
-def load_index(spark: SparkSession, path: str) -> SearchIndex:
-    """Raises ValueError for a folder that isn't an index; a missing one raises Spark's AnalysisException."""
+def load_index(spark: SparkSession, path: str, stemmer: CustomStemmer | None = None) -> SearchIndex:
+    """Raises ValueError for a folder that isn't an index, or one whose custom stemmer isn't given; a missing one raises Spark's AnalysisException."""
     meta = spark.read.parquet(f"{path}/meta").first()
     if meta is None or meta["magic"] != MAGIC or meta["version"] not in (RAW, PACKED):
         raise ValueError(f"{path} is no index: invalid magic")
-    return SearchIndex(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), meta["num_docs"], meta["stemmer"])
+    known = meta["stemmer"] in STEMMERS
+    if not known and (stemmer is None or stemmer.name != meta["stemmer"]):
+        raise ValueError(f"{path} was built with the stemmer {meta['stemmer']}")
+    postings = spark.read.parquet(f"{path}/postings")
+    return SearchIndex(spark.read.parquet(f"{path}/docs"), unpack_postings(postings) if meta["version"] == PACKED else postings, meta["num_docs"], meta["stemmer"] if known else stemmer, spark.read.parquet(f"{path}/terms"))
 
 
 def write_frequency_csv(frequency: DataFrame, path: str) -> None:

@@ -53,8 +53,12 @@ def crawl_stream(pages: DataFrame, table: StateTable, checkpoint: str, sites: Se
     """Classify, extract, gate and upsert pages(url, html, ts)."""
 
     def write(batch: DataFrame, n: int) -> None:
-        rows = extract_articles(batch, sites, least_bytes).drop("text")
-        stamped = rows.join(batch.select("url", "ts"), "url").select("normalized_url", "ts", "title", "html_content")
-        table.upsert(stamped.where(F.col("ts").isNotNull()), n)
+        rows = extract_articles(batch.where(F.col("ts").isNotNull()), sites, least_bytes)
+        table.upsert(rows.select("normalized_url", "ts", "title", "html_content"), n)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def report(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows) of the batches that a query has finished: what was taken in before it drained or was stopped. A stopped one goes on from its checkpoint."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
