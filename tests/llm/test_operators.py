@@ -231,6 +231,21 @@ def test_components(spark):
     got = {r[0]: r[1] for r in near_dup.components(spark.createDataFrame(pairs, "_x long, _y long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((90, 95, 100), 90)}
 
+def test_components_of_random_links(spark):
+    """Repeated links, links in either direction and with oneself, and no links at all."""
+    rng = random.Random(5)
+    for n, m in ((60, 45), (40, 80), (9, 0)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] * 2
+        least = list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                least[x] = least[y] = min(least[x], least[y])
+        linked = {v for x, y in pairs if x != y for v in (x, y)}
+        links = spark.createDataFrame(pairs, "_x long, _y long")
+        assert {r[0]: r[1] for r in near_dup.components(links).collect()} == {v: least[v] for v in linked}
+        first = near_dup.components(links.where("_x % 2 = 0"))
+        assert {r[0]: r[1] for r in near_dup.merged(first, links.where("_x % 2 = 1")).collect()} == {v: least[v] for v in linked}
+
 
 def test_toxicity(spark):
     bad = ["grimwort", "foulest", "slimeball"]

@@ -167,14 +167,20 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(_x, _y) -> ``_id, _component`` (the smallest id reachable) for the ids in links; alternating large and small stars."""
+    """links(_x, _y) -> ``_id, _component`` (the smallest id reachable) for the ids in links; alternating large and small stars.
+
+    Links of an id with itself, repeated links and those in either direction count as one; no links give no rows. Rounds end when the edges are stars already,
+    which the least and largest neighbours tell: each node is then the smallest of its neighbours or has only one.
+    """
     edges = stage_table(links.where("_x != _y").select(F.greatest("_x", "_y").alias("_x"), F.least("_x", "_y").alias("_y")).distinct(), "edges")
-    before = None
     while True:
-        # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = edges.union(edges.select(F.col("_y"), F.col("_x")))
-        least = stage_table(both.groupBy("_x").agg(F.least(F.min("_y"), F.col("_x")).alias("_m")), "least")
-        large = both.join(least, "_x").where("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y")).where("_x != _y").distinct()
+        # large star: every larger neighbour of a node is tied to the node's smallest neighbour
+        least = stage_table(both.groupBy("_x").agg(F.least(F.min("_y"), F.col("_x")).alias("_m"), (F.min("_y") != F.max("_y")).alias("_many")), "least")
+        if least.where("_m != _x AND _many").isEmpty():
+            drop_table(least)
+            break
+        large = both.join(least, "_x").where("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y"))
         large = stage_table(large, "large")
         # small star: a node and its smaller neighbours are tied to the smallest of them
         low = stage_table(large.groupBy("_x").agg(F.min("_y").alias("_m")), "low")
@@ -183,13 +189,16 @@ def components(links: DataFrame) -> DataFrame:
         for t in (edges, least, large, low):
             drop_table(t)
         edges = new
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_x", "_y").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("_x").alias("_id"), F.col("_y").alias("_component")).union(edges.select(F.col("_y"), F.col("_y")).distinct())
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(_id, _component) of components() with further links(_x, _y), staged; the same table where there are none."""
+    if links.isEmpty():
+        return labels
+    return stage_table(components(labels.select(F.col("_id").alias("_x"), F.col("_component").alias("_y")).union(links)), "labels")
+
+
 def bucket_rows(reps: DataFrame) -> DataFrame:
     """reps(_id, _n, _a, _b) -> ``_key, _id, _n, _lo, _hi`` for keys that several ids share."""
     rows = reps.select("_id", "_n", "_b", F.posexplode("_a").alias("_i", "_ka")).select("_id", "_n", "_i", "_ka", F.posexplode("_b").alias("_j", "_kb"))
@@ -296,26 +305,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sub: i
     buckets = stage_table(bucket_rows(classes.select(F.col("_rep").alias("_id"), "_n", "_a", "_b")), "buckets")
     release_shuffles(spark)
 
-    tested, links = None, None
+    tested, labels = None, None
     for end in ("_lo", "_hi"):
         rows_now = buckets.select("_id", F.col(end).alias("_end")).where("_id != _end").distinct()
-        if links is not None:
-            labels = stage_table(components(links), "labels")
+        if labels is not None:
             rows_now = with_component(with_component(rows_now, labels), labels, "_end", "_ce").where("_c != _ce")
         pairs = rows_now.select(F.greatest("_id", "_end").alias("_x"), F.least("_id", "_end").alias("_y")).distinct()
         pairs = stage_table(pairs if tested is None else pairs.join(tested, ["_x", "_y"], "left_anti"), "pairs")
         found = confirmed(pairs, texts, shingle, percent)
-        links = found if links is None else links.union(found)
+        labels = stage_table(components(found), "labels") if labels is None else merged(labels, found)
         tested = pairs if tested is None else tested.union(pairs)
         release_shuffles(spark)
-    labels = stage_table(components(links), "labels")
     apart = with_component(buckets.select("_key", "_id", "_n"), labels)
     span = Window.partitionBy("_key")
     apart = stage_table(apart.withColumn("_l", F.min("_c").over(span)).withColumn("_h", F.max("_c").over(span)).where("_l < _h").select("_key", "_id", "_c"), "apart")
-    links = links.union(cross_links(apart, texts, shingle, percent))
     # rows of one doc_id may be in several classes: they tie those classes together
     ties = known.join(classes.select("_n", "_f1", "_f2", "_rep"), ["_n", "_f1", "_f2"]).where("_id != _rep").select(F.col("_id").alias("_x"), F.col("_rep").alias("_y")).distinct()
-    labels = stage_table(components(links.union(ties)), "labels")
+    labels = merged(labels, cross_links(apart, texts, shingle, percent).union(ties))
     for t in (buckets, apart, classes):
         drop_table(t)
     release_shuffles(spark)
