@@ -247,8 +247,9 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     families = components(chains)
     members = stage_table(apart.select("_id", "_c").distinct().join(families.select("_id", F.col("_component").alias("_g")), "_id"), "members")
     own = stage_table(member_sets(members, rows, k), "sets")
-    sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_z"))
-    most = own.select("_g", F.explode("_s").alias("_e")).groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k")).join(sizes, "_g").where("2 * _k > _z")
+    sizes = stage_table(own.groupBy("_g").agg(F.count(F.lit(1)).alias("_z")), "sizes")
+    # more than half of two sets or more are two at least, and a family of one set has no links
+    most = own.select("_g", F.explode("_s").alias("_e")).groupBy("_g", "_e").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").join(sizes, "_g").where("2 * _k > _z")
     pivots = stage_table(most.groupBy("_g").agg(F.collect_list("_e").alias("_p")), "pivots")
 
     pivot = F.coalesce("_p", F.array().cast("array<long>"))
@@ -256,11 +257,14 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     sets = own.join(pivots, "_g", "left").select("_r", "_id", "_n", "_c", "_g", differences.alias("_d"))
     unit = 2 * (100 + percent)
     sets = stage_table(sets.withColumn("_w", F.size("_d") * (100 + percent) - F.col("_n") * (100 - percent)), "differences")
-    least = sets.groupBy("_g").agg(F.min("_w").alias("_least"), F.min_by("_id", F.struct("_w", "_r")).alias("_best"))
-    sets = sets.join(least, "_g").withColumn("_far", F.col("_w") + F.col("_least") > 0)
-    far_least = sets.where("_far").groupBy("_g").agg(F.min("_w").alias("_far_least"))
+    # one row a family and weight, then one a family, so that the sets of a large family meet its bounds in one join that can be split
+    weights = sets.groupBy("_g", "_w").agg(F.min_by("_id", "_r").alias("_best"))
+    least = stage_table(weights.groupBy("_g").agg(F.min("_w").alias("_least"), F.min_by("_best", "_w").alias("_best")), "least")
+    far_least = weights.join(least, "_g").where("_w + _least > 0").groupBy("_g").agg(F.min("_w").alias("_far_least"))
+    bounds = stage_table(least.join(far_least, "_g", "left"), "bounds")
+    sets = sets.join(bounds, "_g").withColumn("_far", F.col("_w") + F.col("_least") > 0)
     # families without sets beyond have all their links by now
-    beyond = stage_table(sets.join(far_least, "_g"), "beyond")
+    beyond = stage_table(sets.where("_far_least IS NOT NULL"), "beyond")
     certain = sets.where("NOT _far AND _id != _best").select(F.col("_id").alias("_x"), F.col("_best").alias("_y"))
 
     flat = beyond.select("_g", "_r", F.explode("_d").alias("_e"))
@@ -285,7 +289,7 @@ def cross_links(apart: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
     shared = F.size(F.array_intersect("_d", "_do"))
     found = pairs.join(side, "_r").join(other, "_ro").where(shared * unit >= F.col("_w") + F.col("_wo"))
     out = stage_table(certain.union(found.select(F.col("_id").alias("_x"), F.col("_ido").alias("_y"))).distinct(), "links")
-    for t in (members, own, pivots, beyond, posted, pairs):
+    for t in (members, own, sizes, pivots, least, bounds, beyond, posted, pairs):
         drop_table(t)
     return out
 
